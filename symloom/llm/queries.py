@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL, where SQL can express them."""
 
-from symloom.llm import level, pack, split
+from symloom.llm import leak, level, pack, shared, split
 
-MODULES = [split, pack, level]
+MODULES = [split, shared, pack, leak, level]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
