@@ -5,13 +5,32 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application: their Python need not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        here = Path(__file__).resolve().parent
+        at = Path(tempfile.mkdtemp(prefix="symloom-")) / "symloom.zip"
+        with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(here.rglob("*.py")):
+                z.write(p, p.relative_to(here.parent))
+        sc.addPyFile(str(at))
+        _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -54,5 +73,6 @@ def mix(*columns: Column) -> Column:
 
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """df in at least as many partitions as there are cores; unchanged where it has them already."""
+    ship(df.sparkSession)
     n = least or df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
