@@ -1,4 +1,505 @@
 """The registered queries over the given tables, with their SQL."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from symloom.functions import columns as C
+from symloom.operators import diff, graph, health, ledger, search, traverse
+from symloom.plans import sql as Q
+from symloom.sources import extract, store
+from symloom.util import table, written
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+FIND = "bridge|cache, router<a,b>"
+TERMS = ("bridge", "cache", "router<a,b>")
+LITERALS = ("errors.New", "unwrap_or_else", "raise ValueError")
+ROUNDS = 8
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def _symbols(spark: SparkSession, folder: str, *more: str) -> DataFrame:
+    return graph.symbols(spark, folder, *more)
+
+
+def _edges(spark: SparkSession, folder: str) -> DataFrame:
+    """The call graph, written once a query: several operators read it."""
+    return written(graph.call_edges(_symbols(spark, folder)))
+
+
+def _files(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return table(spark, folder, "files").select("file_id", *columns).dropDuplicates(["file_id"])
+
+
+# -- names and references
+@query("name_index", Q.with_(["idx"], "SELECT repo_id, lookup, count(*) AS candidates, min(sid) AS first_sid FROM idx GROUP BY ALL"))
+def _(spark, folder):
+    return graph.name_index(_symbols(spark, folder)).groupBy("repo_id", "lookup").agg(F.count(F.lit(1)).alias("candidates"), F.min("sid").alias("first_sid"))
+
+
+@query("resolve_edges", Q.with_(["e"], "SELECT repo_id, src, dst, round(w, 6) AS w FROM e"))
+def _(spark, folder):
+    return graph.call_edges(_symbols(spark, folder)).select("repo_id", "src", "dst", F.round("w", 6).alias("w"))
+
+
+@query("resolve_stats", Q.with_(["res"], "SELECT repo_id, outcome, count(*) AS refs FROM res GROUP BY ALL"))
+def _(spark, folder):
+    return graph.resolve(_symbols(spark, folder)).groupBy("repo_id", "outcome").agg(F.count(F.lit(1)).alias("refs"))
+
+
+@query("reference_weights", Q.with_(["res"], "SELECT src, ref, round(w, 6) AS w FROM res"))
+def _(spark, folder):
+    return graph.resolve(_symbols(spark, folder)).select("src", "ref", F.round("w", 6).alias("w"))
+
+
+@query("transitions", Q.with_(["e"], "SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 6) AS p FROM e"))
+def _(spark, folder):
+    return traverse.transitions(_edges(spark, folder)).select("src", "dst", F.round("p", 6).alias("p"))
+
+
+# -- neighbours of the busiest symbol of each repository
+@query("callers_1hop", Q.with_(["s", "top"], "SELECT DISTINCT e.repo_id, s.file || ':' || s.name AS coordinate FROM e JOIN top ON top.sid = e.dst JOIN s ON s.sid = e.src"))
+def _(spark, folder):
+    e, s = _edges(spark, folder), _symbols(spark, folder)
+    callers = e.join(graph.busiest(e).select(F.col("sid").alias("dst")), "dst").select("repo_id", F.col("src").alias("sid"))
+    return callers.join(s.select("sid", C.coordinate().alias("coordinate")), "sid").select("repo_id", "coordinate").distinct()
+
+
+@query("callees", Q.with_(["s", "e"], "SELECT e.repo_id, e.src, count(*) AS callees, string_agg(s.file || ':' || s.name, ' ' ORDER BY e.dst) AS coordinates FROM e JOIN s ON s.sid = e.dst GROUP BY ALL"))
+def _(spark, folder):
+    e = graph.call_edges(_symbols(spark, folder)).join(_symbols(spark, folder).select(F.col("sid").alias("dst"), C.coordinate().alias("coordinate")), "dst")
+    one = F.sort_array(F.collect_list(F.struct("dst", "coordinate")))
+    return e.groupBy("repo_id", "src").agg(F.count(F.lit(1)).alias("callees"), F.array_join(F.transform(one, lambda x: x["coordinate"]), " ").alias("coordinates"))
+
+
+@query("mentioners", Q.with_(["words"], "SELECT DISTINCT t.sid AS target, w.sid FROM s t JOIN words w ON w.repo_id = t.repo_id AND w.word IN (t.name, regexp_extract(t.name, '([^:.]*)$', 1)) WHERE w.sid <> t.sid"))
+def _(spark, folder):
+    s = _symbols(spark, folder)
+    return graph.mentioners(s, s).select("target", "sid")
+
+
+@query("upstream_split", Q.with_(["e", "words"], """SELECT target, count(*) FILTER (tier = 'call') AS callers, count(*) FILTER (tier = 'mention') AS mentioners FROM (
+SELECT e.dst AS target, e.src AS sid, 'call' AS tier FROM e UNION ALL
+SELECT DISTINCT t.sid, w.sid, 'mention' FROM s t JOIN words w ON w.repo_id = t.repo_id AND w.word IN (t.name, regexp_extract(t.name, '([^:.]*)$', 1)) WHERE w.sid <> t.sid AND (t.sid, w.sid) NOT IN (SELECT dst, src FROM e)) GROUP BY target"""))
+def _(spark, folder):
+    s, e = _symbols(spark, folder), _edges(spark, folder)
+    calls = e.select(F.col("dst").alias("target"), F.col("src").alias("sid"))
+    weak = graph.mentioners(s, s).select("target", "sid").join(calls, ["target", "sid"], "left_anti")
+    both = calls.withColumn("tier", F.lit("call")).unionByName(weak.withColumn("tier", F.lit("mention")))
+    return both.groupBy("target").agg(F.count_if(F.col("tier") == "call").alias("callers"), F.count_if(F.col("tier") == "mention").alias("mentioners"))
+
+
+@query("ctor_fold", Q.with_(["s"], "SELECT t.sid AS target, c.sid FROM s t JOIN s c ON c.repo_id = t.repo_id AND c.file = t.file AND c.name IN (t.name || '::constructor', t.name || '::new') WHERE t.kind IN ('class', 'struct') UNION SELECT sid, sid FROM s"))
+def _(spark, folder):
+    s = _symbols(spark, folder)
+    return graph.with_constructors(s, s).select("target", "sid")
+
+
+@query("follow_local", Q.with_(["s", "e"], "SELECT e.src, e.dst, strlen(d.body) AS bytes FROM e JOIN s a ON a.sid = e.src JOIN s d ON d.sid = e.dst WHERE a.file = d.file"))
+def _(spark, folder):
+    s = _symbols(spark, folder, "body").select("sid", "file", F.octet_length("body").alias("bytes"))
+    a, d = s.select(F.col("sid").alias("src"), F.col("file").alias("at")), s.withColumnRenamed("sid", "dst")
+    return graph.call_edges(_symbols(spark, folder)).join(a, "src").join(d, "dst").where("at = file").select("src", "dst", "bytes")
+
+
+@query("name_resolution", Q.with_(["s"], f"SELECT target, CASE WHEN n = 1 THEN 'unique' ELSE 'ambiguous' END AS status, n AS hits FROM (SELECT t.name AS target, count(DISTINCT s.sid) AS n FROM (SELECT DISTINCT {Q.leaf('name')} AS name FROM s) t JOIN s ON {Q.leaf('s.name')} = t.name GROUP BY t.name)"))
+def _(spark, folder):
+    by = _symbols(spark, folder).where("name IS NOT NULL").groupBy(C.leaf("name").alias("target")).agg(F.count(F.lit(1)).alias("hits"))
+    return by.select("target", F.when(F.col("hits") == 1, "unique").otherwise("ambiguous").alias("status"), "hits")
+
+
+# -- ranks
+def _nodes(s: DataFrame) -> DataFrame:
+    return s.select("repo_id", "sid", C.is_test().alias("is_test"))
+
+
+@query("pagerank_global", Q.pagerank(ROUNDS, f"(CASE WHEN {Q.is_test('file', 'name')} THEN 0.25 ELSE 1.0 END)", "w", True))
+def _(spark, folder):
+    r = traverse.pagerank(_nodes(_symbols(spark, folder)), _edges(spark, folder), ROUNDS, 0)
+    return r.select("repo_id", "sid", F.round("rank", 6).alias("rank"))
+
+
+@query("pagerank_focus", Q.pagerank(ROUNDS, "(CASE WHEN contains(lower(name), 'bridge') OR contains(lower(file), 'bridge') THEN 1.0 ELSE 0.0 END)", "w", False))
+def _(spark, folder):
+    s = _symbols(spark, folder)
+    focus = s.where(F.lower("name").contains("bridge") | F.lower("file").contains("bridge")).select("sid")
+    r = traverse.pagerank(_nodes(s), _edges(spark, folder), ROUNDS, 0, focus=focus)
+    return r.select("repo_id", "sid", F.round("rank", 6).alias("rank"))
+
+
+@query("pagerank_unweighted", Q.pagerank(ROUNDS, f"(CASE WHEN {Q.is_test('file', 'name')} THEN 0.25 ELSE 1.0 END)", "1.0", True))
+def _(spark, folder):
+    r = traverse.pagerank(_nodes(_symbols(spark, folder)), _edges(spark, folder), ROUNDS, 0, weighted=False)
+    return r.select("repo_id", "sid", F.round("rank", 6).alias("rank"))
+
+
+# -- traversals from the busiest symbol of each repository, constructors included
+def _seeds(s: DataFrame, e: DataFrame) -> DataFrame:
+    t = s.join(graph.busiest(e).select("sid"), "sid")
+    return graph.with_constructors(s, t).select(F.col("target").alias("source"), "sid")
+
+
+SEEDS = "SELECT t.sid AS source, t.sid FROM top t UNION SELECT t.sid, c.sid FROM top t JOIN s x ON x.sid = t.sid JOIN s c ON c.repo_id = x.repo_id AND c.file = x.file AND c.name IN (x.name || '::constructor', x.name || '::new') WHERE x.kind IN ('class', 'struct')"
+
+
+@query("blast_up_3", Q.with_(["s", "top"], "SELECT source, sid, depth FROM reached", *Q.reach(SEEDS, True)))
+def _(spark, folder):
+    s, e = _symbols(spark, folder), _edges(spark, folder)
+    return traverse.reach(e, _seeds(s, e), 3)
+
+
+@query("blast_down_3", Q.with_(["s", "top"], "SELECT source, r.sid, depth, r.sid NOT IN (SELECT src FROM e) AS is_sink FROM reached r", *Q.reach("SELECT src AS source, src AS sid FROM e", False)))
+def _(spark, folder):
+    e = _edges(spark, folder)
+    down = traverse.reach(e, e.select(F.col("src").alias("source"), F.col("src").alias("sid")), 3, up=False)
+    calls = e.select(F.col("src").alias("sid"), F.lit(True).alias("calls")).distinct()
+    return down.join(calls, "sid", "left").select("source", "sid", "depth", F.col("calls").isNull().alias("is_sink"))
+
+
+@query("blast_report", Q.with_(["s", "top", "deg"], f"SELECT source, count(*) AS affected, count(*) FILTER ({Q.is_program('name')} OR (NOT {Q.is_test('file', 'name')} AND fan_in = 0 AND {Q.is_exported('file', 'name', 'signature')})) AS entry_points, count(DISTINCT CASE WHEN {Q.is_test('file', 'name')} THEN file END) AS test_suites FROM reached JOIN deg USING (sid) WHERE depth > 0 GROUP BY source", *Q.reach(SEEDS, True)))
+def _(spark, folder):
+    s, e = _symbols(spark, folder), _edges(spark, folder)
+    cone = traverse.reach(e, _seeds(s, e), 3).where("depth > 0")
+    d = health.degrees(s, e)
+    d = d.select("sid", "file", C.is_test().alias("test"), (C.is_program_entry() | (~C.is_test() & (F.col("fan_in") == 0) & C.is_exported())).alias("entry"))
+    return cone.join(d, "sid").groupBy("source").agg(F.count(F.lit(1)).alias("affected"), F.count_if("entry").alias("entry_points"), F.countDistinct(F.when(F.col("test"), F.col("file"))).alias("test_suites"))
+
+
+@query("call_sites", Q.with_(["s", "e"], f"""SELECT DISTINCT source, sid, line FROM (SELECT t.sid AS source, c.sid, c.start_line + i - 1 AS line, {Q.trim('l[i]')} AS text, regexp_extract(t.name, '([^:.]*)$', 1) AS word, i, len(l) AS n
+FROM (SELECT e.dst, c.sid, c.start_line, {Q.lines('c.body')} AS l, unnest(range(1, len({Q.lines('c.body')}) + 1)) AS i FROM e JOIN s c ON c.sid = e.src) c JOIN s t ON t.sid = c.dst)
+WHERE (i > 1 OR n = 1) AND NOT starts_with(text, '//') AND NOT starts_with(text, '#') AND NOT starts_with(text, '*') AND NOT starts_with(text, '/*') AND word <> '' AND regexp_matches(text, '(^|[^A-Za-z0-9_])' || word || '\\s*([(!<]|::<)')"""))
+def _(spark, folder):
+    e = _edges(spark, folder)
+    names = _symbols(spark, folder).select(F.col("sid").alias("dst"), F.array(C.mention_name("name")).alias("names"))
+    pairs = e.join(names, "dst").select(F.col("dst").alias("source"), F.col("src").alias("sid"), "names")
+    return traverse.call_sites(_symbols(spark, folder, "body"), pairs)
+
+
+@query("value_uses", Q.with_(["s", "top", "words"], "SELECT DISTINCT t.sid AS source, w.sid FROM top JOIN s t ON t.sid = top.sid JOIN words w ON w.repo_id = t.repo_id AND w.word IN (t.name, regexp_extract(t.name, '([^:.]*)$', 1)) WHERE w.sid <> t.sid AND (t.sid, w.sid) NOT IN (SELECT source, sid FROM reached)", *Q.reach(SEEDS, True)))
+def _(spark, folder):
+    s, e = _symbols(spark, folder), _edges(spark, folder)
+    seeds = _seeds(s, e)
+    targets = s.join(seeds.select(F.col("source").alias("sid")).distinct(), "sid")
+    uses = graph.mentioners(s, targets).select(F.col("target").alias("source"), "sid")
+    return uses.join(traverse.reach(e, seeds, 3), ["source", "sid"], "left_anti")
+
+
+@query("test_mentions", Q.with_(["s", "top"], f"""SELECT DISTINCT source, sid, line FROM (SELECT t.sid AS source, c.sid, c.start_line + i - 1 AS line, l[i] AS text, regexp_extract(t.name, '([^:.]*)$', 1) AS word
+FROM (SELECT repo_id, sid, start_line, {Q.lines('body')} AS l, unnest(range(1, len({Q.lines('body')}) + 1)) AS i FROM s WHERE {Q.is_test('file', 'name')}) c JOIN top USING (repo_id) JOIN s t ON t.sid = top.sid)
+WHERE strlen(word) >= 3 AND regexp_matches(text, '(^|[^A-Za-z0-9_])' || word || '([^A-Za-z0-9_]|$)') AND (source, sid) NOT IN (SELECT source, sid FROM reached)""", *Q.reach(SEEDS, True)))
+def _(spark, folder):
+    s, e = _symbols(spark, folder), _edges(spark, folder)
+    seeds = _seeds(s, e)
+    words = s.join(graph.busiest(e).select("sid"), "sid").select("repo_id", F.col("sid").alias("source"), C.mention_name("name").alias("word"))
+    hits = traverse.word_hits(_symbols(spark, folder, "body").where(C.is_test()), words)
+    return hits.join(traverse.reach(e, seeds, 3), ["source", "sid"], "left_anti").select("source", "sid", "line")
+
+
+# -- health
+ENTRY = f"({Q.is_program('name')} OR (NOT {Q.is_test('file', 'name')} AND fan_in = 0 AND {Q.is_exported('file', 'name', 'signature')}))"
+DEAD = f"fan_in = 0 AND fan_out = 0 AND NOT {Q.is_program('name')} AND NOT {Q.is_test('file', 'name')} AND NOT {Q.is_framework('file', 'name', 'kind', 'signature')}"
+
+
+def _degrees(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    e = _edges(spark, folder)
+    return health.degrees(_symbols(spark, folder), e), e
+
+
+@query("entry_points", Q.with_(["deg"], f"SELECT sid, file || ':' || name AS coordinate FROM deg WHERE {ENTRY}"))
+def _(spark, folder):
+    return health.entry_points(_degrees(spark, folder)[0]).select("sid", C.coordinate().alias("coordinate"))
+
+
+@query("sinks", Q.with_(["deg"], "SELECT sid, name FROM deg WHERE fan_out = 0"))
+def _(spark, folder):
+    return health.sinks(_degrees(spark, folder)[0]).select("sid", "name")
+
+
+@query("dead_weight", Q.with_(["deg"], f"SELECT sid, CASE WHEN kind IN ('function', 'method') THEN 'likely' ELSE 'review' END AS tier FROM deg WHERE {DEAD}"))
+def _(spark, folder):
+    return health.dead_weight(_degrees(spark, folder)[0]).select("sid", "tier")
+
+
+@query("hubs_top5", Q.with_(["deg"], "SELECT repo_id, sid, fan_in, row_number() OVER w AS place FROM deg WHERE fan_in > 0 WINDOW w AS (PARTITION BY repo_id ORDER BY fan_in DESC, centrality DESC NULLS LAST, sid) QUALIFY row_number() OVER w <= 5"))
+def _(spark, folder):
+    return health.hubs(_degrees(spark, folder)[0]).select("repo_id", "sid", F.col("fan_in").cast("long").alias("fan_in"), F.col("place").cast("long").alias("place"))
+
+
+@query("doctor_totals", Q.with_(["deg"], "SELECT d.repo_id, count(DISTINCT file) AS files, count(*) AS symbols, any_value(coalesce(x.n, 0)) AS edges, count(*) FILTER (fan_in = 0 AND fan_out = 0) AS isolated FROM deg d LEFT JOIN (SELECT repo_id, count(*) AS n FROM e GROUP BY repo_id) x ON x.repo_id = d.repo_id GROUP BY d.repo_id"))
+def _(spark, folder):
+    d, e = _degrees(spark, folder)
+    return health.totals(d, e).select("repo_id", "files", "symbols", F.col("edges").cast("long").alias("edges"), "isolated")
+
+
+MAP = "SELECT repo_id, file, string_agg(kind || ' ' || name, '; ' ORDER BY coalesce(centrality, 0) DESC, sid) AS symbols, count(*) AS kept, any_value(total) AS total, row_number() OVER (PARTITION BY repo_id ORDER BY max(coalesce(centrality, 0)) DESC, file) AS place FROM {rows} GROUP BY repo_id, file"
+
+
+@query("map_modules", Q.with_(["s"], MAP.format(rows="(SELECT *, count(*) OVER (PARTITION BY repo_id) AS total FROM s)")))
+def _(spark, folder):
+    return health.module_map(_symbols(spark, folder)).select("repo_id", "file", "symbols", "kept", "total", F.col("place").cast("long").alias("place"))
+
+
+@query("map_ranked", Q.with_(["s"], MAP.format(rows="(SELECT *, count(*) OVER (PARTITION BY repo_id) AS total FROM s QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY coalesce(centrality, 0) DESC, sid) <= 20)")))
+def _(spark, folder):
+    return health.module_map(_symbols(spark, folder), limit=20).select("repo_id", "file", "symbols", "kept", "total", F.col("place").cast("long").alias("place"))
+
+
+@query("map_scope", Q.with_(["s"], MAP.format(rows="(SELECT *, count(*) OVER (PARTITION BY repo_id) AS total FROM s WHERE file = 'internal' OR starts_with(file, 'internal/') OR list_contains(string_split(file, '/'), 'internal'))")))
+def _(spark, folder):
+    return health.module_map(_symbols(spark, folder), "internal").select("repo_id", "file", "symbols", "kept", "total", F.col("place").cast("long").alias("place"))
+
+
+# -- changes
+@query("hunk_ranges", Q.with_(["hk"], "SELECT hunk_id, file, first, last FROM hk"))
+def _(spark, folder):
+    return diff.hunks(spark, folder)
+
+
+TOUCHED = "touched AS MATERIALIZED (SELECT DISTINCT hk.hunk_id, s.repo_id, s.sid FROM hk JOIN s ON s.file = hk.file AND s.start_line <= hk.last AND coalesce(s.end_line, s.start_line) >= hk.first)"
+
+
+@query("diff_mutated", Q.with_(["hk", "s"], "SELECT hunk_id, sid FROM touched", TOUCHED))
+def _(spark, folder):
+    return diff.mutated(_symbols(spark, folder), diff.hunks(spark, folder)).select("hunk_id", "sid")
+
+
+@query("diff_affected", Q.with_(["hk", "s", "e"], "SELECT sid, min(depth) AS depth, count(DISTINCT source) AS sources FROM reached WHERE depth > 0 AND sid NOT IN (SELECT sid FROM touched) GROUP BY sid", TOUCHED, *Q.reach("SELECT sid AS source, sid FROM touched", True)))
+def _(spark, folder):
+    s = _symbols(spark, folder)
+    return diff.affected(_edges(spark, folder), written(diff.mutated(s, diff.hunks(spark, folder))))
+
+
+@query("cdc_status", "WITH o AS (SELECT file_id, hash FROM files WHERE ingested_at < TIMESTAMP '2025-10-01' QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY ingested_at) = 1), n AS (SELECT file_id, CASE WHEN file_id % 7 = 0 THEN hash || '*' ELSE hash END AS hash FROM files WHERE file_id % 11 <> 0 QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY ingested_at) = 1) SELECT file_id, CASE WHEN o.file_id IS NULL THEN 'new' WHEN n.file_id IS NULL THEN 'deleted' WHEN o.hash IS NOT DISTINCT FROM n.hash THEN 'same' ELSE 'changed' END AS status FROM (SELECT * FROM o) o FULL JOIN n USING (file_id)")
+def _(spark, folder):
+    """What arrived by a day against a later state in which some files are edited and some removed."""
+    f = table(spark, folder, "files").select("file_id", "hash", "ingested_at")
+    old = f.where("ingested_at < TIMESTAMP_NTZ '2025-10-01'").dropDuplicates(["file_id"]).select("file_id", "hash")
+    new = f.where("file_id % 11 <> 0").dropDuplicates(["file_id"]).select("file_id", F.when(F.col("file_id") % 7 == 0, F.concat("hash", F.lit("*"))).otherwise(F.col("hash")).alias("hash"))
+    return store.changes(old, new, "file_id")
+
+
+# -- search
+CONTAINS = " OR ".join("contains(lower({c}), '" + t + "')" for t in TERMS)
+EXACT = "(" + " OR ".join(f"lower(name) = '{t}'" for t in TERMS) + ")"
+
+
+@query("find_symbols", Q.with_(["s"], f"SELECT sid, {EXACT} AS exact, strlen(name) AS bytes FROM s WHERE {CONTAINS.format(c='name')}"))
+def _(spark, folder):
+    return search.find_symbols(_symbols(spark, folder), search.terms(FIND)).select("sid", "exact", "bytes")
+
+
+@query("find_files", Q.with_(["f"], f"SELECT file_id, path FROM f WHERE {CONTAINS.format(c='path')}"))
+def _(spark, folder):
+    return search.find_files(_files(spark, folder, "path"), search.terms(FIND)).select("file_id", "path")
+
+
+HITS = f"hits AS MATERIALIZED (SELECT file_id, i AS line, term FROM (SELECT file_id, {Q.lines('content')} AS l, unnest(range(1, len({Q.lines('content')}) + 1)) AS i FROM f) CROSS JOIN (SELECT unnest({list(TERMS)}) AS term) WHERE contains(lower(l[i]), term))"
+
+
+@query("find_literal", Q.with_(["f"], "SELECT file_id, line, term FROM hits", HITS))
+def _(spark, folder):
+    return search.literal_hits(_files(spark, folder, "content"), search.terms(FIND)).select("file_id", F.col("line").cast("long").alias("line"), "term")
+
+
+@query("find_union", Q.with_(["s", "f"], f"SELECT 'symbol' AS what, sid AS id FROM s WHERE {CONTAINS.format(c='name')} UNION ALL SELECT 'file', file_id FROM f WHERE {CONTAINS.format(c='path')}"))
+def _(spark, folder):
+    w = search.terms(FIND)
+    a = search.find_symbols(_symbols(spark, folder), w).select(F.lit("symbol").alias("what"), F.col("sid").alias("id"))
+    return a.unionByName(search.find_files(_files(spark, folder, "path"), w).select(F.lit("file").alias("what"), F.col("file_id").alias("id")))
+
+
+@query("unmatched_terms", Q.with_(["s", "f"], "SELECT term FROM (SELECT unnest(['bridge', 'router<a,b>', 'zzz']) AS term) t WHERE NOT EXISTS (SELECT 1 FROM s WHERE contains(lower(name), term)) AND NOT EXISTS (SELECT 1 FROM f WHERE contains(lower(path), term))"))
+def _(spark, folder):
+    return search.unmatched(["bridge", "router<a,b>", "zzz"], _symbols(spark, folder), _files(spark, folder, "path"))
+
+
+@query("enclosing_symbol", Q.with_(["s", "f"], "SELECT h.file_id, h.line, h.term, arg_min(s.sid, (coalesce(s.end_line, s.start_line) - s.start_line, s.sid)) FILTER (s.start_line <= h.line AND coalesce(s.end_line, s.start_line) >= h.line) AS sid FROM hits h LEFT JOIN s ON s.file_id = h.file_id GROUP BY ALL", HITS))
+def _(spark, folder):
+    hits = search.literal_hits(_files(spark, folder, "content"), search.terms(FIND))
+    return search.enclosing(hits, _symbols(spark, folder)).select("file_id", F.col("line").cast("long").alias("line"), "term", "sid")
+
+
+@query("missing_files", Q.with_(["f"], "SELECT file_id, path FROM f WHERE NOT contains(content, 'bridge') AND NOT contains(content, 'cache')"))
+def _(spark, folder):
+    return search.missing(_files(spark, folder, "path", "content"), "bridge|cache").select("file_id", "path")
+
+
+@query("missing_defines", Q.with_(["f"], "SELECT file_id, path FROM f WHERE (contains(content, 'class ') OR contains(content, 'struct ')) AND NOT contains(content, 'Error')"))
+def _(spark, folder):
+    return search.missing(_files(spark, folder, "path", "content"), "Error", "class |struct ").select("file_id", "path")
+
+
+@query("sink_sweep", Q.with_(["f"], f"SELECT file_id, i AS line, {Q.trim('l[i]')} AS text FROM (SELECT file_id, {Q.lines('content')} AS l, unnest(range(1, len({Q.lines('content')}) + 1)) AS i FROM f) WHERE " + " OR ".join(f"contains(l[i], '{x}')" for x in LITERALS)))
+def _(spark, folder):
+    return search.sweep(_files(spark, folder, "content"), list(LITERALS)).select("file_id", F.col("line").cast("long").alias("line"), "text")
+
+
+@query("line_slice", Q.with_(["f", "hk"], f"SELECT DISTINCT hunk_id, greatest(first - 2, 1) AS first, least(last + 2, n) AS last, strlen(array_to_string(l[greatest(first - 2, 1):least(last + 2, n)], chr(10))) AS bytes FROM (SELECT hk.*, {Q.lines('content')} AS l, len({Q.lines('content')}) AS n FROM hk JOIN f ON f.path = hk.file) WHERE greatest(first - 2, 1) <= n"))
+def _(spark, folder):
+    """The lines of each hunk with two around them; the ranges are handed over back to front."""
+    f = _files(spark, folder, "path", "content")
+    h = diff.hunks(spark, folder).join(f.select("file_id", F.col("path").alias("file")), "file")
+    cut = search.line_slice(f, h.select("file_id", "hunk_id", (F.col("last") + 2).alias("first"), (F.col("first") - 2).alias("last")))
+    return cut.select("hunk_id", "first", "last", F.octet_length("text").alias("bytes")).distinct()
+
+
+# -- texts
+@query("doc_lines", f"SELECT doc_id, len({Q.lines('text')}) AS lines, coalesce(list_max(list_transform({Q.lines('text')}, lambda x: strlen(x))), 0) AS longest FROM documents")
+def _(spark, folder):
+    x = C.lines("text")
+    return table(spark, folder, "documents").select("doc_id", F.size(x).cast("long").alias("lines"), F.coalesce(F.array_max(F.transform(x, F.octet_length)), F.lit(0)).cast("long").alias("longest"))
+
+
+@query("token_estimate", Q.with_(["s"], f"SELECT sid, CAST(ceil(strlen(body) / (CASE WHEN {Q.ext('file')} IN ('rs', 'go') THEN 3 WHEN {Q.ext('file')} = 'py' THEN 5 ELSE 4 END)::DOUBLE) AS BIGINT) AS tokens FROM s"))
+def _(spark, folder):
+    return _symbols(spark, folder, "body").select("sid", C.token_estimate("body", "file").cast("long").alias("tokens"))
+
+
+@query("truncated_bodies", Q.with_(["f"], f"SELECT file_id, md5(CASE WHEN n <= 250 THEN content ELSE array_to_string(l[1:200], chr(10)) || chr(10) || chr(10) || '// ... [' || (n - 230) || ' lines truncated for token efficiency] ...' || chr(10) || chr(10) || array_to_string(l[n - 29:n], chr(10)) END) AS digest FROM (SELECT file_id, content, {Q.lines('content')} AS l, len({Q.lines('content')}) AS n FROM f)"))
+def _(spark, folder):
+    f = _files(spark, folder, "content").withColumn("span", F.size(C.lines("content")))
+    return f.select("file_id", F.md5(C.truncated_body("content", "span")).alias("digest"))
+
+
+@query("budget_cut", f"SELECT doc_id, len(list_filter(range(1, len(l) + 1), lambda i: list_sum(list_transform(l[1:i], lambda x: strlen(x) + 1)) <= 2000)) AS kept, len(l) AS lines FROM (SELECT doc_id, {Q.lines('text')} AS l FROM documents)")
+def _(spark, folder):
+    return search.budget_cut(table(spark, folder, "documents"), "doc_id", "text", 2000).select("doc_id", F.col("kept").cast("long").alias("kept"), F.col("lines").cast("long").alias("lines"))
+
+
+@query("compact_signatures", Q.with_(["s"], "SELECT sid, CASE WHEN length(t) > 120 THEN left(t, 120) || '…' ELSE t END AS signature FROM (SELECT sid, trim(regexp_replace(signature, '\\s+', ' ', 'g')) AS t FROM s)"))
+def _(spark, folder):
+    return _symbols(spark, folder).select("sid", C.compact_signature("signature").alias("signature"))
+
+
+@query("import_headers", Q.with_(["f"], f"SELECT file_id, i AS line, {Q.trim('l[i]')} AS text FROM (SELECT file_id, {Q.lines('content')} AS l, unnest(range(1, least(len({Q.lines('content')}), 400) + 1)) AS i FROM f) WHERE regexp_matches({Q.trim('l[i]')}, '^(pub )?use .*;$|^extern crate .*;$|^import\\b[ {{(].*(;|''|\")$|^import [^{{(]*[^,\\\\{{(]$|^from .* import ([^(\\\\]*|.*\\(.*\\))$|^(const|let) .*= require\\(')"))
+def _(spark, folder):
+    return search.import_header(_files(spark, folder, "content")).select("file_id", F.col("line").cast("long").alias("line"), "text")
+
+
+# -- ledgers
+SECTION = "CASE WHEN contains(h, 'epic') THEN 'epics' WHEN contains(h, 'debt') THEN 'debt' WHEN contains(h, 'vocab') OR contains(h, 'gotcha') THEN 'vocab' ELSE 'other' END"
+LEDGER = f"""numbered AS MATERIALIZED (SELECT doc_id, i, l[i] AS text FROM (SELECT doc_id, {Q.lines('text')} AS l, unnest(range(1, len({Q.lines('text')}) + 1)) AS i FROM documents)),
+heads AS (SELECT *, starts_with({Q.trim('text')}, '## ') AS is_head, lower(regexp_replace({Q.trim('text')}, '^#+\\s*', '')) AS h FROM numbered),
+filled AS MATERIALIZED (SELECT doc_id, i AS line, text, coalesce(last_value(CASE WHEN is_head THEN {SECTION} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i), '') AS section, is_head FROM heads)"""
+
+
+@query("ledger_sections", f"WITH {LEDGER} SELECT doc_id, section, count(*) AS lines, min(line) AS first_line FROM filled WHERE NOT is_head GROUP BY ALL")
+def _(spark, folder):
+    rows = ledger.sections(table(spark, folder, "documents"))
+    return rows.groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("lines"), F.min("line").cast("long").alias("first_line"))
+
+
+DEBT = """SELECT doc_id, line, CASE WHEN lft > 0 THEN trim(substr(c, 1, lft - 1), ' ') END AS what, CASE WHEN rgt > 0 THEN trim(substr(rest, 1, rgt - 1), ' ') END AS why, CASE WHEN rgt > 0 THEN trim(substr(rest, rgt + 2), ' ') END AS trigger, lft, rgt FROM (
+SELECT *, CASE WHEN lft > 0 THEN substr(c, lft + 2) END AS rest, coalesce(instr(substr(c, lft + 2), '->'), 0) AS rgt FROM (SELECT doc_id, line, substr(ltrim(text, ' '), 3) AS c, instr(substr(ltrim(text, ' '), 3), '<-') AS lft FROM filled WHERE (starts_with(ltrim(text, ' '), '- ') OR starts_with(ltrim(text, ' '), '* ')) AND contains(text, '<-')))"""
+
+
+@query("debt_items", f"WITH {LEDGER} SELECT doc_id, line, what, why, trigger, CASE WHEN lft = 0 THEN 'missing <-' WHEN rgt = 0 THEN 'missing ->' WHEN what = '' THEN 'empty what' WHEN why = '' THEN 'empty why' WHEN trigger = '' THEN 'empty trigger' END AS reason FROM ({DEBT})")
+def _(spark, folder):
+    """The bulleted debt lines of all ledgers, wherever they stand, with the rule that a line breaks."""
+    rows = search.text_lines(table(spark, folder, "documents").where(F.col("text").contains("<-")), "doc_id", "text")
+    t = F.ltrim("text")
+    rows = rows.where((t.startswith("- ") | t.startswith("* ")) & F.col("text").contains("<-"))
+    return rows.select("doc_id", F.col("line").cast("long").alias("line"), *ledger.debt_fields("text"))
+
+
+@query("ledger_lint", f"WITH {LEDGER} SELECT doc_id, line, CASE WHEN contains(text, '~~') THEN 'strikethrough' WHEN contains(text, '[x]') OR contains(text, '[X]') THEN 'completed checkbox' WHEN contains(text, '[ ]') THEN 'checkbox' WHEN NOT (starts_with(ltrim(text, ' '), '- ') OR starts_with(ltrim(text, ' '), '* ')) THEN 'missing bullet' WHEN NOT contains(substr(ltrim(text, ' '), 3), '<-') THEN 'missing <-' ELSE 'other' END AS reason FROM filled WHERE NOT is_head AND section <> '' AND {Q.trim('text')} <> '' AND NOT starts_with({Q.trim('text')}, '#')")
+def _(spark, folder):
+    """Every line below a heading, judged as a debt line: the corpus has few headings that name debt."""
+    rows = ledger.sections(table(spark, folder, "documents")).where((F.col("section") != "") & (F.trim("text") != "") & ~F.trim("text").startswith("#"))
+    reason = ledger.lint_reason("text")
+    few = ("strikethrough", "completed checkbox", "checkbox", "missing bullet", "missing <-")
+    return rows.select("doc_id", F.col("line").cast("long").alias("line"), F.when(reason.isin(*few), reason).otherwise("other").alias("reason"))
+
+
+@query("comment_markers", None)
+def _(spark, folder):
+    return ledger.markers(table(spark, folder, "files").select("file_id", "path", "content").dropDuplicates(["file_id"]), "todo")
+
+
+# -- predicates, paths, nested values
+@query("path_functions", Q.with_(["f"], f"SELECT file_id, {Q.folder('path')} AS dir, {Q.base('path')} AS base, {Q.stem('path')} AS stem, {Q.ext('path')} AS extension FROM f"))
+def _(spark, folder):
+    return _files(spark, folder, "path").select("file_id", C.parent_dir("path").alias("dir"), C.base_name("path").alias("base"), C.stem("path").alias("stem"), C.extension("path").alias("extension"))
+
+
+@query("test_predicate", Q.with_(["s"], f"SELECT sid, {Q.is_test('file', 'name')} AS is_test FROM s"))
+def _(spark, folder):
+    return _symbols(spark, folder).select("sid", C.is_test().alias("is_test"))
+
+
+@query("framework_entries", Q.with_(["s"], f"SELECT sid, name FROM s WHERE {Q.is_framework('file', 'name', 'kind', 'signature')}"))
+def _(spark, folder):
+    return _symbols(spark, folder).where(C.is_framework_entry()).select("sid", "name")
+
+
+@query("scope_predicates", Q.with_(["f"], "SELECT file_id, (path = 'src' OR starts_with(path, 'src/') OR list_contains(string_split(path, '/'), 'src')) AS map, (path = 'monolith/src' OR starts_with(path, 'monolith/src/')) AS find, (path = 'monolith/lib' OR starts_with(path, 'monolith/lib/')) AS missing FROM f"))
+def _(spark, folder):
+    return _files(spark, folder, "path").select("file_id", C.in_scope_map("path", "src").alias("map"), C.in_scope_find("path", "./monolith//src").alias("find"), C.in_scope_missing("path", " ./monolith/lib/").alias("missing"))
+
+
+@query("coordinates", Q.with_(["s"], "SELECT sid, file || ':' || name AS coordinate, file || ':#L' || start_line || '-' || coalesce(end_line, start_line) AS lines FROM s"))
+def _(spark, folder):
+    return _symbols(spark, folder).select("sid", C.coordinate().alias("coordinate"), C.line_coordinate().alias("lines"))
+
+
+@query("ext_histogram", Q.with_(["f"], f"SELECT {Q.ext('path')} AS extension, count(*) AS files FROM f GROUP BY ALL"))
+def _(spark, folder):
+    return store.extension_histogram(_files(spark, folder, "path"))
+
+
+@query("coverage", Q.with_(["f", "s"], "SELECT f.repo_id, count(*) AS files, count(x.file_id) AS indexed, CAST(floor(count(x.file_id) * 100 / count(*)) AS BIGINT) AS percent FROM f LEFT JOIN (SELECT DISTINCT file_id FROM s) x ON x.file_id = f.file_id GROUP BY f.repo_id"))
+def _(spark, folder):
+    have = table(spark, folder, "symbols").select("file_id", F.lit(1).alias("one")).distinct()
+    by = _files(spark, folder, "repo_id").join(have, "file_id", "left").groupBy("repo_id").agg(F.count(F.lit(1)).alias("files"), F.count("one").alias("indexed"))
+    return by.withColumn("percent", C.percent("indexed", "files"))
+
+
+@query("call_multiplicity", Q.with_(["s"], "SELECT sid, coalesce(list_sum(map_values(call_counts)), 0)::BIGINT AS calls, len(map_keys(call_counts)) AS names, coalesce(array_to_string(list_sort(list_filter(map_keys(call_counts), lambda k: call_counts[k] > 1)), ' '), '') AS repeated FROM s"))
+def _(spark, folder):
+    m = F.col("call_counts")
+    return _symbols(spark, folder).select("sid", F.coalesce(F.aggregate(F.map_values(m), F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0)).alias("calls"), F.size(m).cast("long").alias("names"), F.array_join(F.sort_array(F.map_keys(F.map_filter(m, lambda k, v: v > 1))), " ").alias("repeated"))
+
+
+@query("array_functions", Q.with_(["s"], "SELECT sid, len(list_filter(calls, lambda x: NOT list_contains(member_calls, x))) AS free_calls, list_contains(external_imports, 'log') AS logs, len(list_distinct(coalesce(mentions, []))) AS mentioned FROM s"))
+def _(spark, folder):
+    return _symbols(spark, folder).select("sid", F.size(F.filter("calls", lambda x: ~F.array_contains("member_calls", x))).cast("long").alias("free_calls"), F.array_contains("external_imports", "log").alias("logs"), F.size(F.array_distinct(F.coalesce("mentions", F.array().cast("array<string>")))).cast("long").alias("mentioned"))
+
+
+@query("json_roundtrip", Q.with_(["s"], "SELECT sid, len(calls) AS calls, coalesce(array_to_string(calls, ','), '') AS joined FROM s"))
+def _(spark, folder):
+    """The calls of each symbol through JSON and back."""
+    back = F.from_json(F.to_json("calls"), "array<string>")
+    return _symbols(spark, folder).select("sid", F.size(back).cast("long").alias("calls"), F.array_join(back, ",").alias("joined"))
+
+
+# -- extraction and hashes
+@query("extract_symbols")
+def _(spark, folder):
+    return extract.declarations(_files(spark, folder, "path", "content")).withColumn("calls", F.array_join("calls", " "))
+
+
+@query("extract_agreement")
+def _(spark, folder):
+    """By kind: how many symbols of the table extraction finds at the same line under the same name."""
+    mine = extract.declarations(_files(spark, folder, "path", "content")).select("file_id", "name", F.lit(True).alias("hit")).distinct()
+    s = _symbols(spark, folder).select("kind", "file_id", C.leaf("name").alias("name"))
+    return s.join(mine, ["file_id", "name"], "left").groupBy("kind").agg(F.count(F.lit(1)).alias("symbols"), F.count("hit").alias("found"))
+
+
+@query("fnv_hash")
+def _(spark, folder):
+    return store.fnv1a(_files(spark, folder, "content"), "file_id", "content")
