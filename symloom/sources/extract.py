@@ -20,6 +20,8 @@ PATTERNS = {
 }
 LANGUAGE = {"py": "py", "rs": "rs", "go": "go", **dict.fromkeys(("ts", "tsx", "js", "jsx", "mjs", "cjs"), "ts")}
 CALL = r"([A-Za-z_]\w*)\s*(?:::<[^>]*>)?!?\("
+# the head of a declaration inside a block is no call
+HEAD = r"\b(?:def|fn|function\*?|func(?: \([^)]*\))?)\s+\w+|^\s+(?!if\b|for\b|while\b|switch\b|catch\b|return\b)(?:\w+ )*\w+(?=\([^)]*\)[^;={]*\{\s*$)"
 NO_CALLS = ("if", "for", "while", "switch", "match", "return", "catch", "function", "fn", "func", "def", "with", "and", "or", "not", "in", "elif", "super", "await")
 
 
@@ -57,7 +59,7 @@ def declarations(files: DataFrame) -> DataFrame:
     body = F.slice("x", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1)
     filled = F.filter(F.transform(body, lambda t, i: F.when(F.trim(t) != "", i)), lambda i: i.isNotNull())
     each = each.withColumn("end_line", F.col("start_line") + F.coalesce(F.array_max(filled), F.lit(0)))
-    called = F.array_distinct(F.flatten(F.transform(F.slice("x", F.col("start_line") + 1, F.greatest(F.col("end_line") - F.col("start_line"), F.lit(0))), lambda t: F.regexp_extract_all(F.regexp_replace(t, r"\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|(?://|#).*$", ""), F.lit(CALL), 1))))
+    called = F.array_distinct(F.flatten(F.transform(F.slice("x", F.col("start_line") + 1, F.greatest(F.col("end_line") - F.col("start_line"), F.lit(0))), lambda t: F.regexp_extract_all(F.regexp_replace(F.regexp_replace(t, HEAD, ""), r"\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|(?://|#).*$", ""), F.lit(CALL), 1))))
     calls = F.sort_array(F.array_except(called, F.array(*map(F.lit, NO_CALLS))))
     signature = F.trim(F.regexp_replace(F.col("h.text"), r"\s*[{:]?\s*$", ""))
     return each.select("file_id", "path", F.col("h.d.kind").alias("kind"), F.col("h.d.name").alias("name"), "start_line", "end_line", signature.alias("signature"), calls.alias("calls"))
