@@ -40,7 +40,8 @@ Lead: Lead D | Lead B | Lead H | Lead A | Lead c | Lead e | -
 Doc: Run | B
 Run: Run D | Run H | Run A D | Run A H | D | H
 Marks: Marks A | Marks c | -
-Head: Words k Words o | Words g Words o | Words k Words | Words g Words | Words o | w Words
+Head: Begin Words o | Begin o | Begin Words
+Begin: k | w | g
 Words: Words w | Words g | Words c | Words e | Words k | -
 """,
     "blocks": """
@@ -48,7 +49,8 @@ Unit: Lead Doc Marks Head | Lead Marks Head | Lead Doc Marks | Lead
 Lead: Lead B | Lead A | Lead c | Lead e | -
 Doc: B
 Marks: Marks A | Marks c | Marks e | -
-Head: Words k Words o | Words g Words o | Words k Words | Words g Words | Words o | w Words
+Head: Begin Words o | Begin o | Begin Words
+Begin: k | w | g
 Words: Words w | Words g | Words c | Words e | Words k | -
 """,
 }
