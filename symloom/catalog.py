@@ -38,7 +38,7 @@ def _symbols(spark: SparkSession, folder: str, *more: str) -> DataFrame:
 
 def _edges(spark: SparkSession, folder: str) -> DataFrame:
     """The call graph, written once a query: several operators read it."""
-    return written(graph.call_edges(_symbols(spark, folder)))
+    return written(graph.call_edges(graph.arrivals(spark, folder)))
 
 
 def _files(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -48,22 +48,22 @@ def _files(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 # -- names and references
 @query("name_index", Q.with_(["idx"], "SELECT repo_id, lookup, count(*) AS candidates, min(sid) AS first_sid FROM idx GROUP BY ALL"))
 def _(spark, folder):
-    return graph.name_index(_symbols(spark, folder)).groupBy("repo_id", "lookup").agg(F.count(F.lit(1)).alias("candidates"), F.min("sid").alias("first_sid"))
+    return graph.name_index(graph.arrivals(spark, folder)).groupBy("repo_id", "lookup").agg(F.count(F.lit(1)).alias("candidates"), F.min("sid").alias("first_sid"))
 
 
 @query("resolve_edges", Q.with_(["e"], "SELECT repo_id, src, dst, round(w, 6) AS w FROM e"))
 def _(spark, folder):
-    return graph.call_edges(_symbols(spark, folder)).select("repo_id", "src", "dst", F.round("w", 6).alias("w"))
+    return graph.call_edges(graph.arrivals(spark, folder)).select("repo_id", "src", "dst", F.round("w", 6).alias("w"))
 
 
 @query("resolve_stats", Q.with_(["res"], "SELECT repo_id, outcome, count(*) AS refs FROM res GROUP BY ALL"))
 def _(spark, folder):
-    return graph.resolve(_symbols(spark, folder)).groupBy("repo_id", "outcome").agg(F.count(F.lit(1)).alias("refs"))
+    return graph.resolve(graph.arrivals(spark, folder)).groupBy("repo_id", "outcome").agg(F.count(F.lit(1)).alias("refs"))
 
 
 @query("reference_weights", Q.with_(["res"], "SELECT src, ref, round(w, 6) AS w FROM res"))
 def _(spark, folder):
-    return graph.resolve(_symbols(spark, folder)).select("src", "ref", F.round("w", 6).alias("w"))
+    return graph.resolve(graph.arrivals(spark, folder)).select("src", "ref", F.round("w", 6).alias("w"))
 
 
 @query("transitions", Q.with_(["e"], "SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 6) AS p FROM e"))
@@ -81,7 +81,7 @@ def _(spark, folder):
 
 @query("callees", Q.with_(["s", "e"], "SELECT e.repo_id, e.src, count(*) AS callees, string_agg(s.file || ':' || s.name, ' ' ORDER BY e.dst) AS coordinates FROM e JOIN s ON s.sid = e.dst GROUP BY ALL"))
 def _(spark, folder):
-    e = graph.call_edges(_symbols(spark, folder)).join(_symbols(spark, folder).select(F.col("sid").alias("dst"), C.coordinate().alias("coordinate")), "dst")
+    e = graph.call_edges(graph.arrivals(spark, folder)).join(_symbols(spark, folder).select(F.col("sid").alias("dst"), C.coordinate().alias("coordinate")), "dst")
     one = F.sort_array(F.collect_list(F.struct("dst", "coordinate")))
     return e.groupBy("repo_id", "src").agg(F.count(F.lit(1)).alias("callees"), F.array_join(F.transform(one, lambda x: x["coordinate"]), " ").alias("coordinates"))
 
@@ -113,7 +113,7 @@ def _(spark, folder):
 def _(spark, folder):
     s = _symbols(spark, folder, "body").select("sid", "file", F.octet_length("body").alias("bytes"))
     a, d = s.select(F.col("sid").alias("src"), F.col("file").alias("at")), s.withColumnRenamed("sid", "dst")
-    return graph.call_edges(_symbols(spark, folder)).join(a, "src").join(d, "dst").where("at = file").select("src", "dst", "bytes")
+    return graph.call_edges(graph.arrivals(spark, folder)).join(a, "src").join(d, "dst").where("at = file").select("src", "dst", "bytes")
 
 
 @query("name_resolution", Q.with_(["s"], f"SELECT target, CASE WHEN n = 1 THEN 'unique' ELSE 'ambiguous' END AS status, n AS hits FROM (SELECT t.name AS target, count(DISTINCT s.sid) AS n FROM (SELECT DISTINCT {Q.leaf('name')} AS name FROM s) t JOIN s ON {Q.leaf('s.name')} = t.name GROUP BY t.name)"))

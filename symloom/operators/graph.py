@@ -22,24 +22,32 @@ def symbols(spark: SparkSession, folder: str, *more: str) -> DataFrame:
     return df.select(*SYMBOL_COLUMNS, *more).dropDuplicates(["sid"])
 
 
+def arrivals(spark: SparkSession, folder: str) -> DataFrame:
+    """The symbols as often as they arrived, for operators that count equal rows once themselves: these shuffle and hash the
+    few columns they need, where symbols() has to sort whole rows."""
+    df = table(spark, folder, "symbols").withColumnRenamed("symbol_id", "sid").where("sid IS NOT NULL")
+    return df.select(*SYMBOL_COLUMNS)
+
+
 def name_index(syms: DataFrame) -> DataFrame:
-    """repo_id, lookup, sid, file, dir of each callable symbol under each of its names."""
+    """repo_id, lookup, sid, file, dir of each callable symbol under each of its names; equal rows once."""
     rows = syms.where(C.is_callable() & F.col("name").isNotNull())
-    return rows.select("repo_id", F.explode(C.index_names("name")).alias("lookup"), "sid", "file", C.parent_dir("file").alias("dir"))
+    return rows.select("repo_id", F.explode(C.index_names("name")).alias("lookup"), "sid", "file", C.parent_dir("file").alias("dir")).distinct()
 
 
 def references(syms: DataFrame) -> DataFrame:
-    """One row per symbol and called name: src, ref, hint, lookup, n, is_member, is_external, is_test and where it stands."""
-    rows = syms.select(F.col("sid").alias("src"), "repo_id", "file", C.parent_dir("file").alias("dir"), F.col("name").alias("src_name"), C.is_test().alias("is_test"), "member_calls", "external_imports", "call_counts", F.explode("calls").alias("ref"))
+    """One row per symbol and called name: src, ref, hint, lookup, n, is_member, is_external, is_test and where it stands;
+    equal rows count once."""
+    rows = syms.select(F.col("sid").alias("src"), "repo_id", "file", C.parent_dir("file").alias("dir"), F.col("name").alias("src_name"), C.is_test().alias("is_test"), C.is_callable().alias("callable"), "member_calls", "external_imports", "call_counts", F.explode("calls").alias("ref"))
     hinted = F.col("ref").contains(":") & ~F.col("ref").contains("::")
     listed = lambda c: F.coalesce(F.array_contains(c, F.col("ref")), F.lit(False))
     return rows.where("ref IS NOT NULL").select(
-        "src", "repo_id", "file", "dir", "src_name", "is_test", "ref",
+        "src", "repo_id", "file", "dir", "src_name", "is_test", "callable", "ref",
         F.when(hinted, F.substring_index("ref", ":", 1)).alias("hint"),
         F.when(hinted, F.expr("substr(ref, instr(ref, ':') + 1)")).otherwise(F.col("ref")).alias("lookup"),
         F.coalesce(F.try_element_at("call_counts", F.col("ref")), F.lit(1)).alias("n"),
         listed("member_calls").alias("is_member"), listed("external_imports").alias("is_external"),
-    )
+    ).distinct()
 
 
 def _only(n: str, low: str, high: str, mine: Column) -> tuple[Column, Column]:
@@ -64,8 +72,6 @@ def resolve(syms: DataFrame) -> DataFrame:
     out = refs.join(extremes(["repo_id", "lookup"], "g"), ["repo_id", "lookup"], "left")
     out = out.join(extremes(["repo_id", "lookup", "dir"], "d"), ["repo_id", "lookup", "dir"], "left")
     out = out.join(extremes(["repo_id", "lookup", "file"], "f"), ["repo_id", "lookup", "file"], "left")
-    callers = syms.select(F.col("sid").alias("src"), C.is_callable().alias("callable"))
-    out = out.join(callers, "src")
     mine = F.when(F.col("callable") & F.array_contains(C.index_names("src_name"), F.col("lookup")), 1).otherwise(0)
     in_file, file_one = _only("fn", "flow", "fhigh", mine)
     in_dir, dir_one = _only("dn", "dlow", "dhigh", mine)
@@ -73,7 +79,7 @@ def resolve(syms: DataFrame) -> DataFrame:
     generic = F.col("lookup").isin("new", "default")
     itself = (mine == 1) & (F.col("src_name") == F.col("ref"))
     # the rare references with a module hint look at their candidates one by one
-    hinted = out.where("hint IS NOT NULL AND NOT is_external AND gn IS NOT NULL").select("src", "ref", "repo_id", "lookup", "hint", F.col("file").alias("at"))
+    hinted = refs.where("hint IS NOT NULL AND NOT is_external").select("src", "ref", "repo_id", "lookup", "hint", F.col("file").alias("at"))
     far = hinted.join(index, ["repo_id", "lookup"]).where("file <> at").groupBy("src", "ref").agg(F.count(F.lit(1)).alias("hn"), F.min("sid").alias("hone"), F.count_if(_hint_matches(F.col("file"), F.col("hint"))).alias("hm"), F.min(F.when(_hint_matches(F.col("file"), F.col("hint")), F.col("sid"))).alias("hmone"))
     out = out.join(far, ["src", "ref"], "left")
     outcome = (
