@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from symloom.util import mix, spread, table, written
 
-CAPACITY, BUCKETS, SALTS = 2048, 32, 64
+CAPACITY, BUCKETS, SALTS = 2048, 32, (64, 1024)
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how this vocabulary splits a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -119,8 +119,10 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS,
     pieces = F.when(F.col("tokens") == 0, F.lit(1)).otherwise(full + F.when(rest > 0, 1).otherwise(0))
     items = counted.select("doc_id", F.col("tokens").alias("total"), F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("piece"))
     items = items.select("doc_id", "piece", (F.col("piece") * capacity).alias("first_token"), F.least(F.lit(capacity).cast("long"), F.col("total") - F.col("piece") * capacity).alias("tokens"))
-    items = written(items.withColumn("salt", (mix(F.col("doc_id"), F.col("piece")) % SALTS).cast("int")))
-    # at most capacity x SALTS rows
+    # one length may hold a third of all items: salts split it for the numbering, more of them on a larger cluster
+    salts = min(max(SALTS[0], int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))), SALTS[1])
+    items = written(items.withColumn("salt", (mix(F.col("doc_id"), F.col("piece")) % salts).cast("int")))
+    # at most capacity x 1,024 rows of three numbers
     part = items.groupBy("tokens", "salt").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["tokens", "salt"])
     histogram = {int(k): int(v) for k, v in part.groupby("tokens")["n"].sum().items()}
     runs, limits = plan(histogram, capacity, buckets)
