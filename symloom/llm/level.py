@@ -19,27 +19,37 @@ from pyspark.sql import functions as F
 from symloom.llm.prose import language, sentences
 from symloom.util import spread, table, written
 
-SHARE, HOT, LEAST = 0.9, 50_000, 4
+SHARE, HOT, LEAST, TYPICAL = 0.9, 50_000, 4, 0.6
 PROFILE = "doc_id long, lang string, sentences int, n_words long, length double, letters double, words array<string>, counts array<int>"
 
 
+def _typical(values: list[float]) -> float:
+    """The value at the TYPICAL quantile: a text is as demanding as the larger part of its sentences, whatever single ones are."""
+    return float(np.quantile(values, TYPICAL, method="nearest")) if values else 0.0
+
+
+def _declared(lang: str | None) -> str:
+    """The language a row declares, for texts without a function word; English where it declares none."""
+    return (lang or "en").lower()[:2]
+
+
 def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
-        for doc, text in zip(b["doc_id"], b["text"]):
+        for doc, text, lang in zip(b["doc_id"], b["text"], b["lang"]):
             s = sentences(text)
             count: Counter[str] = Counter()
             for words in s:
                 count.update(words)
-            length = float(np.median([len(w) for w in s])) if s else 0.0
-            letters = float(np.median([sum(map(len, w)) / len(w) for w in s])) if s else 0.0
-            rows.append((doc, language(count), len(s), sum(count.values()), length, letters, list(count), list(count.values())))
+            length = _typical([len(w) for w in s])
+            letters = _typical([sum(map(len, w)) / len(w) for w in s])
+            rows.append((doc, language(count) or _declared(lang), len(s), sum(count.values()), length, letters, list(count), list(count.values())))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in PROFILE.split(", ")])
 
 
 def profiles(documents: DataFrame) -> DataFrame:
     """What the prose of each document is made of, in one pass over the whole texts."""
-    return spread(documents.select(F.col("doc_id").cast("long"), "text")).mapInPandas(_profile, PROFILE)
+    return spread(documents.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"))).mapInPandas(_profile, PROFILE)
 
 
 def vocabulary(profile: DataFrame) -> DataFrame:
@@ -124,7 +134,7 @@ def reading_level(documents: DataFrame, labels: DataFrame, least: int = LEAST) -
     """doc_id, lang, cover, length, letters, score, level (1 to 5) of each document.
 
     Null, empty and code-only texts have a null level. Texts not in English are at most 4. `lang` is told from the text,
-    not from the column. Without labels every level is 3. The one cross join is with a row of two coefficients."""
+    from the column only where no function word tells it. Without labels every level is 3. The one cross join is with a row of two coefficients."""
     spark = documents.sparkSession
     cells = spark.sql(CELLS.replace("features", "{features}"), features=features(documents))
     sql = CALIBRATED.replace("{least}", str(int(least))).replace("FROM cells", "FROM {cells}").replace("FROM labels", "FROM {labels}")
