@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symloom.functions import columns as C
-from symloom.operators import diff, graph, health, ledger, search, traverse
+from symloom.operators import diff, graph, health, ledger, search, slices, traverse
 from symloom.plans import sql as Q
 from symloom.sources import extract, store
 from symloom.util import table, written
@@ -357,6 +357,52 @@ def _(spark, folder):
     return cut.select("hunk_id", "first", "last", F.octet_length("text").alias("bytes")).distinct()
 
 
+@query("find_ranked", Q.with_(["s"], f"SELECT repo_id, sid, row_number() OVER w AS place FROM s WHERE {CONTAINS.format(c='name')} WINDOW w AS (PARTITION BY repo_id ORDER BY {EXACT} DESC, centrality DESC NULLS LAST, strlen(name), sid) QUALIFY row_number() OVER w <= 50"))
+def _(spark, folder):
+    rows = search.find_symbols(_symbols(spark, folder), search.terms(FIND))
+    best = health.top_per_repository(rows, 50, F.desc("exact"), F.desc_nulls_last("centrality"), F.asc("bytes"), F.asc("sid"))
+    return best.select("repo_id", "sid", F.col("place").cast("long").alias("place"))
+
+
+@query("coordinate_index", Q.with_(["s"], "SELECT repo_id, suffix || ':' || name AS coordinate, count(*) AS hits, min(sid) AS first_sid FROM (SELECT repo_id, sid, name, array_to_string(p[n:], '/') AS suffix FROM (SELECT repo_id, sid, name, string_split(file, '/') AS p, unnest(range(1, len(string_split(file, '/')) + 1)) AS n FROM s)) GROUP BY ALL"))
+def _(spark, folder):
+    return slices.coordinate_index(_symbols(spark, folder))
+
+
+@query("suggestions", Q.with_(["s", "res"], """SELECT file, wanted, sid, near, row_number() OVER w AS place FROM (SELECT m.file, m.wanted, s.sid, s.start_line, contains(lower(s.name), lower(m.wanted)) OR contains(lower(m.wanted), lower(s.name)) AS near
+FROM (SELECT DISTINCT a.file, ref AS wanted FROM res JOIN s a ON a.sid = res.src WHERE outcome = 'unresolved') m JOIN s ON s.file = m.file) WINDOW w AS (PARTITION BY file, wanted ORDER BY near DESC, start_line, sid) QUALIFY row_number() OVER w <= 10"""))
+def _(spark, folder):
+    """For each call that no name answers, the symbols of its file that come closest."""
+    s = _symbols(spark, folder)
+    lost = graph.resolve(graph.arrivals(spark, folder)).where("outcome = 'unresolved'").select(F.col("src").alias("sid"), F.col("ref").alias("wanted"))
+    got = slices.suggestions(lost.join(s.select("sid", "file"), "sid"), s)
+    return got.select("file", "wanted", "sid", "near", F.col("place").cast("long").alias("place"))
+
+
+CALLERS = "SELECT dst, count(*) AS n, string_agg(c, ' ' ORDER BY src) FILTER (i <= 5) AS head FROM (SELECT e.dst, e.src, a.file || ':' || a.name AS c, row_number() OVER (PARTITION BY e.dst ORDER BY e.src) AS i FROM e JOIN s a ON a.sid = e.src) GROUP BY dst"
+CALLEES = "SELECT src, count(*) AS n, sum(CASE WHEN a.file = d.file THEN strlen(d.body) ELSE 0 END)::BIGINT AS local_bytes FROM e JOIN s a ON a.sid = e.src JOIN s d ON d.sid = e.dst GROUP BY src"
+SLICE = f"SELECT s.sid, coalesce(i.head, '') AS callers, greatest(coalesce(i.n, 0) - 5, 0) AS more_callers, coalesce(o.n, 0) AS callees, coalesce(o.local_bytes, 0) AS local_bytes, coalesce(len(s.external_imports), 0) AS imports, strlen(s.body) AS core FROM s LEFT JOIN ({CALLERS}) i ON i.dst = s.sid LEFT JOIN ({CALLEES}) o ON o.src = s.sid"
+
+
+def _slices(spark: SparkSession, folder: str) -> DataFrame:
+    s = _symbols(spark, folder, "body")
+    return slices.slices(s, _edges(spark, folder)).join(s.select("sid", F.octet_length("body").alias("core")), "sid")
+
+
+@query("slices", Q.with_(["s", "e"], SLICE))
+def _(spark, folder):
+    d = _slices(spark, folder)
+    return d.select("sid", "callers", *[F.col(c).cast("long").alias(c) for c in ("more_callers", "callees", "local_bytes", "imports", "core")])
+
+
+@query("slice_budget", Q.with_(["s", "e"], f"SELECT sid, trim(CASE WHEN t > 900 AND a > 0 THEN 'locals ' ELSE '' END || CASE WHEN t - a > 900 AND b > 0 THEN 'callees ' ELSE '' END || CASE WHEN t - a - b > 900 AND c > 0 THEN 'callers ' ELSE '' END || CASE WHEN t - a - b - c > 900 AND d > 0 THEN 'imports' ELSE '' END) AS dropped FROM (SELECT *, core + a + b + c + d AS t FROM (SELECT sid, core, local_bytes AS a, callees * 40 AS b, strlen(callers) AS c, imports * 12 AS d FROM ({SLICE})))"))
+def _(spark, folder):
+    """Which parts of each slice go first when it has to fit 900 bytes."""
+    d = _slices(spark, folder)
+    parts = [("locals", F.col("local_bytes")), ("callees", F.col("callees") * 40), ("callers", F.octet_length("callers")), ("imports", F.col("imports") * 12)]
+    return d.select("sid", slices.fitted(F.col("core"), parts, 900).alias("dropped"))
+
+
 # -- texts
 @query("doc_lines", f"SELECT doc_id, len({Q.lines('text')}) AS lines, coalesce(list_max(list_transform({Q.lines('text')}, lambda x: strlen(x))), 0) AS longest FROM documents")
 def _(spark, folder):
