@@ -34,7 +34,7 @@ def affected(e: DataFrame, touched: DataFrame, depth: int = 3) -> DataFrame:
 def ranges_of_diffs(texts: DataFrame, key: str, text: str) -> DataFrame:
     """key, file, first, last of every hunk in unified diffs: `+++` lines name the file until the next one, /dev/null none.
 
-    The lines of a text are folded in order inside its row."""
+    The few lines that matter are folded in order inside the row of their text."""
     start = F.struct(F.lit(None).cast("string").alias("file"), F.array().cast("array<struct<file:string,header:string>>").alias("all"))
 
     def step(acc, x):
@@ -43,5 +43,6 @@ def ranges_of_diffs(texts: DataFrame, key: str, text: str) -> DataFrame:
         more = F.when(hit, F.array(F.struct(acc["file"].alias("file"), x.alias("header")))).otherwise(F.array().cast("array<struct<file:string,header:string>>"))
         return F.struct(named.alias("file"), F.concat(acc["all"], more).alias("all"))
 
-    rows = texts.select(key, F.explode(F.aggregate(C.lines(text), start, step, lambda acc: acc["all"])).alias("h"))
+    marked = F.filter(C.lines(text), lambda x: x.startswith("+++ ") | x.startswith("@@ "))
+    rows = texts.select(key, F.explode(F.aggregate(marked, start, step, lambda acc: acc["all"])).alias("h"))
     return rows.select(key, "h.file", C.hunk_range("h.header").alias("r")).where("r IS NOT NULL").select(key, "file", "r.first", "r.last")

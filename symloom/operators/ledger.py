@@ -13,7 +13,7 @@ SECTIONS = (("epic", "epics"), ("debt", "debt"), ("vocab", "vocab"), ("gotcha",
 
 def sections(documents: DataFrame) -> DataFrame:
     """doc_id, line, text, section: every line with the section that the last `## ` heading above it opened ('' before the
-    first). The lines of a text are folded in order inside the row; heading lines themselves are left out."""
+    first); heading lines themselves are left out. The headings cut a text inside its row, so no line is shuffled."""
     heading = lambda x: F.lower(F.regexp_replace(F.trim(x), r"^#+\s*", ""))
 
     def kind(h: Column) -> Column:
@@ -22,13 +22,14 @@ def sections(documents: DataFrame) -> DataFrame:
             out = F.when(h.contains(word), name).otherwise(out)
         return out
 
-    start = F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("all"))
-    step = lambda acc, x: F.struct(
-        F.when(F.trim(x).startswith("## "), kind(heading(x))).otherwise(acc["now"]).alias("now"),
-        F.concat(acc["all"], F.array(F.when(F.trim(x).startswith("## "), kind(heading(x))).otherwise(acc["now"]))).alias("all"),
-    )
-    marked = documents.select("doc_id", C.lines("text").alias("x")).select("doc_id", F.explode(F.arrays_zip(F.col("x").alias("text"), F.aggregate("x", start, step, lambda acc: acc["all"]).alias("section"), F.sequence(F.lit(1), F.greatest(F.size("x"), F.lit(1))).alias("line"))).alias("r"))
-    return marked.select("doc_id", "r.line", "r.text", "r.section").where(F.col("text").isNotNull() & ~F.trim("text").startswith("## "))
+    rows = documents.select("doc_id", C.lines("text").alias("x"))
+    marks = F.transform("x", lambda t, i: F.when(F.trim(t).startswith("## "), F.struct((i + 1).alias("line"), kind(heading(t)).alias("section"))))
+    marks = F.concat(F.array(F.struct(F.lit(0).alias("line"), F.lit("").alias("section"))), F.filter(marks, lambda m: m.isNotNull()))
+    rows = rows.withColumn("m", marks)
+    spans = F.transform("m", lambda m, i: F.struct(m["line"].alias("line"), m["section"].alias("section"), F.coalesce(F.try_element_at("m", i + 2)["line"], F.size("x") + 1).alias("stop")))
+    part = rows.select("doc_id", "x", F.explode(spans).alias("s"))
+    inside = F.slice("x", F.col("s.line") + 1, F.col("s.stop") - F.col("s.line") - 1)
+    return part.select("doc_id", "s", F.posexplode(inside).alias("i", "text")).select("doc_id", (F.col("s.line") + F.col("i") + 1).alias("line"), "text", "s.section")
 
 
 def debt_fields(text: Column | str) -> list[Column]:

@@ -41,7 +41,7 @@ def pagerank(nodes: DataFrame, e: DataFrame, rounds: int = 100, tolerance: float
     Without focus the prior and, after the last round, the ranks of test symbols count a quarter; with focus (sid) the
     prior is uniform over the focus and tests are not demoted. What dangles flows back by the prior. Ends when the ranks
     of no repository change by `tolerance` together. Each round is one join, one aggregation and a written table; the
-    totals it needs have a row per repository."""
+    totals it needs have a row per repository and are broadcast only where Spark finds them small enough."""
     if focus is None:
         weight = nodes.withColumn("m", F.when(F.col("is_test"), 0.25).otherwise(1.0))
     else:
@@ -49,14 +49,14 @@ def pagerank(nodes: DataFrame, e: DataFrame, rounds: int = 100, tolerance: float
     mass = weight.groupBy("repo_id").agg(F.sum("m").alias("mass"), F.count(F.lit(1)).alias("size")).where("mass > 0")
     t = transitions(e if weighted else e.withColumn("w", F.lit(1.0)))
     out = t.select(F.col("src").alias("sid")).distinct().withColumn("flows", F.lit(True))
-    base = weight.join(F.broadcast(mass), "repo_id").join(out, "sid", "left").select("repo_id", "sid", "is_test", (F.col("m") / F.col("mass")).alias("prior"), F.coalesce("flows", F.lit(False)).alias("flows"), (F.lit(1.0) / F.col("size")).alias("rank"))
+    base = weight.join(mass, "repo_id").join(out, "sid", "left").select("repo_id", "sid", "is_test", (F.col("m") / F.col("mass")).alias("prior"), F.coalesce("flows", F.lit(False)).alias("flows"), (F.lit(1.0) / F.col("size")).alias("rank"))
     base, t = written(base), written(t.select("src", "dst", "p"))
     now = base
     for _ in range(rounds):
         loose = now.where(~F.col("flows")).groupBy("repo_id").agg(F.sum("rank").alias("loose"))
         inflow = now.select(F.col("sid").alias("src"), "rank").join(t, "src").groupBy(F.col("dst").alias("sid")).agg(F.sum(F.col("rank") * F.col("p")).alias("inflow"))
         rank = F.lit(1 - damping) * F.col("prior") + F.lit(damping) * (F.coalesce("inflow", F.lit(0.0)) + F.coalesce("loose", F.lit(0.0)) * F.col("prior"))
-        nxt = now.withColumnRenamed("rank", "old").join(inflow, "sid", "left").join(F.broadcast(loose), "repo_id", "left")
+        nxt = now.withColumnRenamed("rank", "old").join(inflow, "sid", "left").join(loose, "repo_id", "left")
         nxt = written(nxt.select("repo_id", "sid", "is_test", "prior", "flows", rank.alias("rank"), "old"))
         now = nxt.drop("old")
         if tolerance > 0:
@@ -66,7 +66,7 @@ def pagerank(nodes: DataFrame, e: DataFrame, rounds: int = 100, tolerance: float
     if focus is None:
         now = now.withColumn("rank", F.col("rank") * F.when(F.col("is_test"), 0.25).otherwise(1.0))
         total = now.groupBy("repo_id").agg(F.sum("rank").alias("total"))
-        now = now.join(F.broadcast(total), "repo_id").withColumn("rank", F.when(F.col("total") > 0, F.col("rank") / F.col("total")).otherwise(0.0))
+        now = now.join(total, "repo_id").withColumn("rank", F.when(F.col("total") > 0, F.col("rank") / F.col("total")).otherwise(0.0))
     return now.select("repo_id", "sid", "rank")
 
 

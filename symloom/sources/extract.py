@@ -46,18 +46,18 @@ def declarations(files: DataFrame) -> DataFrame:
     lang = F.create_map(*[F.lit(x) for kv in LANGUAGE.items() for x in kv])
     rows = files.select("file_id", "path", C.lines("content").alias("x"), F.try_element_at(lang, C.extension("path")).alias("lang")).where("lang IS NOT NULL")
     heads = F.filter(F.transform(F.col("x"), lambda line, i: F.struct((i + 1).alias("line"), line.alias("text"), _declaration(line, F.col("lang")).alias("d"))), lambda r: r["d"].isNotNull())
-    each = rows.select("file_id", "path", "lang", "x", F.explode(heads).alias("h"))
-    after = F.slice("x", F.col("h.line") + 1, F.size("x"))
-    depth = _indent(F.col("h.text"))
+    indents = F.transform("x", lambda t: F.when(F.trim(t) != "", _indent(t)))
+    each = rows.withColumn("indents", indents).select("file_id", "path", "lang", "x", "indents", F.explode(heads).alias("h"))
+    depth = F.element_at("indents", F.col("h.line"))
     # the first line below that is neither blank nor deeper
-    stops = F.filter(F.transform(after, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda r: (F.trim(r["t"]) != "") & (_indent(r["t"]) <= depth))
-    each = each.withColumn("stop", F.try_element_at(stops, F.lit(1)))
-    closes = F.col("stop.t").rlike(r"^\s*[})\]]")
-    end = F.when(F.col("h.text").rlike(r"[;,]\s*$") & ~F.col("h.text").rlike(r"[{(\[]\s*$"), F.col("h.line")).when(F.col("stop").isNull(), F.size("x")).otherwise(F.col("h.line") + F.col("stop.i") + F.when(closes, 1).otherwise(0))
+    below = F.transform(F.slice("indents", F.col("h.line") + 1, F.size("x")), lambda v, i: F.when(v <= depth, i))
+    each = each.withColumn("stop", F.array_min(below))
+    closes = F.try_element_at("x", F.col("h.line") + F.col("stop") + 1).rlike(r"^\s*[})\]]")
+    end = F.when(F.col("h.text").rlike(r"[;,]\s*$") & ~F.col("h.text").rlike(r"[{(\[]\s*$"), F.col("h.line")).when(F.col("stop").isNull(), F.size("x")).otherwise(F.col("h.line") + F.col("stop") + F.when(closes, 1).otherwise(0))
     each = each.withColumn("start_line", F.col("h.line")).withColumn("end_line", end)
     # a Python block does not include the blank lines after it
-    body = F.slice("x", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1)
-    filled = F.filter(F.transform(body, lambda t, i: F.when(F.trim(t) != "", i)), lambda i: i.isNotNull())
+    body = F.slice("indents", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1)
+    filled = F.transform(body, lambda v, i: F.when(v.isNotNull(), i))
     each = each.withColumn("end_line", F.col("start_line") + F.coalesce(F.array_max(filled), F.lit(0)))
     called = F.array_distinct(F.flatten(F.transform(F.slice("x", F.col("start_line") + 1, F.greatest(F.col("end_line") - F.col("start_line"), F.lit(0))), lambda t: F.regexp_extract_all(F.regexp_replace(F.regexp_replace(t, HEAD, ""), r"\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|(?://|#).*$", ""), F.lit(CALL), 1))))
     calls = F.sort_array(F.array_except(called, F.array(*map(F.lit, NO_CALLS))))
