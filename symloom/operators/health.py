@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symloom.functions import columns as C
@@ -30,7 +30,7 @@ def dead_weight(d: DataFrame) -> DataFrame:
     return lonely.withColumn("tier", F.when(F.col("kind").isin("function", "method"), "likely").otherwise("review"))
 
 
-def top_per_repository(df: DataFrame, n: int, *order: F.Column) -> DataFrame:
+def top_per_repository(df: DataFrame, n: int, *order: Column) -> DataFrame:
     """The first n rows of each repository; Spark keeps n rows a task before it shuffles."""
     w = Window.partitionBy("repo_id").orderBy(*order)
     return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)

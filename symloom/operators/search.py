@@ -112,3 +112,18 @@ def budget_cut(texts: DataFrame, key: str, text: str, budget: int) -> DataFrame:
     step = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), (acc["n"] + F.when(acc["sum"] + x <= budget, 1).otherwise(0)).alias("n"))
     kept = F.aggregate(n, F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n")), step, lambda acc: acc["n"])
     return texts.select(key, kept.alias("kept"), F.size(n).alias("lines"))
+
+
+def first_party(imports: DataFrame, patterns: DataFrame, packages: DataFrame) -> DataFrame:
+    """The imports (with a column `spec`) that an alias pattern or a package of the workspace answers.
+
+    patterns: prefix, suffix, wildcard; without a wildcard prefix is the whole spec. packages: package; a spec is the package
+    or goes on with `/`. Specs meet the patterns by the prefixes they have, so nothing is compared pair by pair."""
+    s = imports.select("spec").where("spec IS NOT NULL").distinct()
+    starts = s.select("spec", F.explode(F.transform(F.sequence(F.lit(0), F.length("spec")), lambda n: F.left("spec", n))).alias("prefix"))
+    ends = F.col("spec").endswith(F.col("suffix")) & (F.octet_length("spec") >= F.octet_length("prefix") + F.octet_length("suffix"))
+    by_pattern = starts.join(patterns, "prefix").where(F.when(F.col("wildcard"), ends).otherwise(F.col("spec") == F.col("prefix"))).select("spec")
+    parts = F.split("spec", "/")
+    heads = s.select("spec", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("package"))
+    known = by_pattern.unionByName(heads.join(packages.select("package").distinct(), "package").select("spec")).distinct()
+    return imports.join(known, "spec", "left_semi")

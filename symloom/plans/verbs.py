@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ class Workspace:
 
     def target(self, coordinate: str) -> DataFrame:
         """The symbols a coordinate names: `name`, or the ending of a path and a name, `pkg/mod.rs:run`."""
-        path, _, name = coordinate.rpartition(":") if "::" not in coordinate else coordinate.partition(":") if ":" in coordinate.split("::")[0] else ("", "", coordinate)
+        path, name = re.match(r"(?:([^:]+):(?!:))?(.+)", coordinate).groups()
         hit = self.symbols.where(C.named("name", name))
         return hit if not path else hit.where(F.array_contains(slices.path_suffixes("file"), path))
 

@@ -91,6 +91,13 @@ def test_budget(spark):
     assert {(r["doc_id"], r["kept"], r["lines"]) for r in search.budget_cut(d, "doc_id", "text", 8).collect()} == {(1, 2, 4), (2, 0, 0), (3, 0, 0)}
 
 
+def test_first_party_imports(spark):
+    i = spark.createDataFrame([(1, "@/db/x"), (2, "@/"), (3, "react"), (4, "our/pkg/deep"), (5, "our/pkgs"), (6, "~lib"), (7, "~libs"), (8, None), (9, "#a.ts")], "id long, spec string")
+    p = spark.createDataFrame([("@/", "", True), ("~lib", "", False), ("#", ".ts", True), ("#a.t", ".ts", True)], "prefix string, suffix string, wildcard boolean")
+    k = spark.createDataFrame([("our/pkg",)], "package string")
+    assert {r["id"] for r in search.first_party(i, p, k).collect()} == {1, 2, 4, 6, 9}
+
+
 def test_ledger(spark):
     text = "intro\n## Epics\n- one\n## Known Debt\n- a <- b -> c\n- [ ] d\n~~x~~\n- [accepted] k <- l -> m\nno bullet\n- a <- b\n- <- b -> c"
     d = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
