@@ -14,6 +14,13 @@ SECTIONS = (("epic", "epics"), ("debt", "debt"), ("vocab", "vocab"), ("gotcha",
 def sections(documents: DataFrame) -> DataFrame:
     """doc_id, line, text, section: every line with the section that the last `## ` heading above it opened ('' before the
     first); heading lines themselves are left out. The headings cut a text inside its row, so no line is shuffled."""
+    part = _parts(documents).select("doc_id", "x", F.explode("parts").alias("s"))
+    inside = F.slice("x", F.col("s.line") + 1, F.col("s.stop") - F.col("s.line") - 1)
+    return part.select("doc_id", "s", F.posexplode(inside).alias("i", "text")).select("doc_id", (F.col("s.line") + F.col("i") + 1).alias("line"), "text", "s.section")
+
+
+def _parts(documents: DataFrame) -> DataFrame:
+    """doc_id, x (the lines), parts: (line of the heading, section, line of the next heading), the first with line 0."""
     heading = lambda x: F.lower(F.regexp_replace(F.trim(x), r"^#+\s*", ""))
 
     def kind(h: Column) -> Column:
@@ -27,9 +34,18 @@ def sections(documents: DataFrame) -> DataFrame:
     marks = F.concat(F.array(F.struct(F.lit(0).alias("line"), F.lit("").alias("section"))), F.filter(marks, lambda m: m.isNotNull()))
     rows = rows.withColumn("m", marks)
     spans = F.transform("m", lambda m, i: F.struct(m["line"].alias("line"), m["section"].alias("section"), F.coalesce(F.try_element_at("m", i + 2)["line"], F.size("x") + 1).alias("stop")))
-    part = rows.select("doc_id", "x", F.explode(spans).alias("s"))
-    inside = F.slice("x", F.col("s.line") + 1, F.col("s.stop") - F.col("s.line") - 1)
-    return part.select("doc_id", "s", F.posexplode(inside).alias("i", "text")).select("doc_id", (F.col("s.line") + F.col("i") + 1).alias("line"), "text", "s.section")
+    return rows.select("doc_id", "x", spans.alias("parts"))
+
+
+def resolved(documents: DataFrame, word: str) -> DataFrame:
+    """doc_id, text without the bulleted lines of debt sections that hold the word, whatever its case."""
+    gone = lambda t: F.ltrim(t).rlike(r"^[-*] ") & F.lower(t).contains(word.lower())
+
+    def kept(s: Column) -> Column:
+        whole = F.slice("x", F.greatest(s["line"], F.lit(1)), s["stop"] - F.greatest(s["line"], F.lit(1)))
+        return F.when(s["section"] == "debt", F.filter(whole, lambda t: ~gone(t))).otherwise(whole)
+
+    return _parts(documents).select("doc_id", F.array_join(F.flatten(F.transform("parts", kept)), "\n").alias("text"))
 
 
 def debt_fields(text: Column | str) -> list[Column]:

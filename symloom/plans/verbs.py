@@ -75,9 +75,9 @@ class Workspace:
     def map(self, scope: str | None = None, limit: int | None = None) -> DataFrame:
         return health.module_map(self.symbols, scope, limit)
 
-    def rank(self, focus: str | None = None) -> DataFrame:
+    def rank(self, focus: str | None = None, tolerance: float = 1e-6) -> DataFrame:
         nodes = self.symbols.select("repo_id", "sid", C.is_test().alias("is_test"))
-        return traverse.pagerank(nodes, self.edges, focus=None if focus is None else self.target(focus).select("sid"))
+        return traverse.pagerank(nodes, self.edges, tolerance=tolerance, focus=None if focus is None else self.target(focus).select("sid"))
 
     def doctor(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Totals, dead weight and hubs of each repository."""

@@ -176,15 +176,15 @@ def test_pagerank(chain):
     e = graph.call_edges(chain)
     pairs = [(r["src"], r["dst"], r["w"]) for r in e.collect()]
     p = [1, 1, 1, 1, 0.25]
-    r = brute_rank(5, pairs, [x / sum(p) for x in p], 100)
+    r = brute_rank(5, pairs, [x / sum(p) for x in p], 12)
     r[4] *= 0.25
     want = [x / sum(r) for x in r]
-    got = {x["sid"]: x["rank"] for x in traverse.pagerank(nodes, e).collect()}
-    assert all(abs(got[i] - want[i]) < 1e-5 for i in range(5))
-    focus = traverse.pagerank(nodes, e, focus=chain.where("name = 'main'").select("sid"))
+    got = {x["sid"]: x["rank"] for x in traverse.pagerank(nodes, e, rounds=12, tolerance=0).collect()}
+    assert all(abs(got[i] - want[i]) < 1e-9 for i in range(5))
+    focus = traverse.pagerank(nodes, e, tolerance=1e-3, focus=chain.where("name = 'main'").select("sid"))
     got = {x["sid"]: x["rank"] for x in focus.collect()}
     want = brute_rank(5, pairs, [0, 0, 0, 1, 0], 100)
-    assert all(abs(got[i] - want[i]) < 1e-5 for i in range(5))
+    assert all(abs(got[i] - want[i]) < 1e-2 for i in range(5))
 
 
 def test_same_graph_twice_is_the_same(chain):

@@ -105,6 +105,8 @@ def test_ledger(spark):
     assert {(r["line"], r["section"]) for r in rows.collect()} >= {(1, ""), (3, "epics"), (5, "debt"), (11, "debt")}
     got = {r["line"]: r["reason"] for r in rows.where("section = 'debt'").select("line", ledger.lint_reason("text").alias("reason")).collect()}
     assert got == {5: None, 6: "checkbox", 7: "strikethrough", 8: None, 9: "missing bullet", 10: "missing ->", 11: "empty what"}
+    left = {r["doc_id"]: r["text"] for r in ledger.resolved(d, "K <- L").collect()}
+    assert left == {1: text.replace("\n- [accepted] k <- l -> m", ""), 2: ""}
     accepted = rows.select(*ledger.debt_fields("text")).where(ledger.is_accepted("what")).collect()
     assert [r["what"] for r in accepted] == ["[accepted] k"]
 
