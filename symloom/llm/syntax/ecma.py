@@ -15,10 +15,10 @@ _TEMPLATE = r"`(?:[^`\\$]|\\.|\$(?!\{)|\$\{(?:[^{}`]|`[^`]*`|\{(?:[^{}]|\{[^{}]*
 
 def _pattern() -> re.Pattern:
     return re.compile(
-        r"(?:[ \t\r\f\v ﻿]+|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|\A#![^\n]*)*+"
+        r"(?:[ \t\r\f\v ﻿]+|//[^\n]*|/\*(?:[^*]++|\*(?!/))*+\*/|\A#![^\n]*)*+"
         r"(\n|(?:=>|\|\||&&|\?\?|===?|!==?|[(,=:\[!&|?{;+*%~^-]|\breturn|\btypeof|\bcase|\bin|\bof)\s*" + _REGEX + r"|[#@]?(?:[^\W\d]|\$)[\w$]*"
         r"|(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+)n?|(?:\d[\d_]*)?\.?\d[\d_]*\.?(?!\.)(?:[eE][+-]?\d[\d_]*)?n?"
-        r"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|" + _TEMPLATE + r"|\?\.(?=\d)|" + "|".join(map(re.escape, sorted(_OPS, key=len, reverse=True))) + r"|^" + _REGEX + r"|.|\Z)",
+        r"|\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|" + _TEMPLATE + r"|\?\.(?=\d)|" + "|".join(map(re.escape, sorted(_OPS, key=len, reverse=True))) + r"|^" + _REGEX + r"|.|\Z)",
         re.S | re.M,
     )
 

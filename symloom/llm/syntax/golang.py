@@ -10,8 +10,8 @@ _WORDS = "break case chan const continue default defer else fallthrough for func
 _OPS = "&^= <<= >>= ... && || <- ++ -- == != <= >= := += -= *= /= %= &= |= ^= << >> &^".split()
 GO = Language(
     re.compile(
-        r"(?:[ \t\r\f]+|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)*+"
-        r"(\n|[^\W\d]\w*|(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*)?\.?\d[\d_]*\.?(?:[eE][+-]?\d+)?)i?|\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`|'(?:[^'\\\n]|\\[^\n]{1,9}?)'"
+        r"(?:[ \t\r\f]++|//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/)*+"
+        r"(\n|[^\W\d]\w*|(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*)?\.?\d[\d_]*\.?(?:[eE][+-]?\d+)?)i?|\"(?:[^\"\\\n]++|\\.)*+\"|`[^`]*`|'(?:[^'\\\n]|\\[^\n]{1,9}?)'"
         r"|" + "|".join(map(re.escape, sorted(_OPS, key=len, reverse=True))) + r"|.|\Z)",
         re.S,
     ),

@@ -10,8 +10,8 @@ _WORDS = "and as assert async await break class continue def del elif else excep
 _OPS = "**= //= >>= <<= ... -> := == != <= >= += -= *= /= %= &= |= ^= @= ** // << >>".split()
 PY = Language(
     re.compile(
-        r"(?:[ \t\f]+|\\\r?\n|#[^\n]*)*+"
-        r"(\r?\n[ \t\f]*|(?:[rRbBuUfFtT]{0,2})(?:\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')|[^\W\d]\w*"
+        r"(?:[ \t\f]++|\\\r?\n|#[^\n]*+)*+"
+        r"(\r?\n[ \t\f]*|(?:[rRbBuUfFtT]{0,2})(?:\"\"\"(?:[^\"\\]++|\\.|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]++|\\.|'(?!''))*+'''|\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+')|[^\W\d]\w*"
         r"|0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*)?\.?\d[\d_]*\.?(?:[eE][+-]?\d[\d_]*)?[jJ]?"
         r"|" + "|".join(map(re.escape, sorted(_OPS, key=len, reverse=True))) + r"|.|\Z)",
         re.S,

@@ -8,11 +8,11 @@ from symloom.llm.syntax.base import END, IDENT, NUMBER, ODD, STRING, Descent, La
 
 _WORDS = "as async await box break const continue crate dyn else enum extern fn for if impl in let loop macro_rules match mod move mut pub ref return self Self static struct super trait type union unsafe use where while yield default auto".split()
 _OPS = "..= ... :: -> => == != <= >= && || += -= *= /= %= ^= &= |= ..".split()
-_BLOCK = r"/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*]|\*(?!/))*\*/)*\*/)*\*/"
+_BLOCK = r"/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*]++|\*(?!/))*+\*/)*\*/)*\*/"
 RS = Language(
     re.compile(
-        r"(?:[ \t\r\f]+|//[^\n]*|" + _BLOCK + r"|\A#!(?!\[)[^\n]*)*+"
-        r"(\n|[bc]?r(#*)\".*?\"\2|[bc]?\"(?:[^\"\\]|\\.)*\"|b?'(?:[^'\\\n]|\\(?:u\{[^}\n]*\}|x..|.))'|'[^\W\d]\w*(?!')|r\#[^\W\d]\w*|[^\W\d]\w*"
+        r"(?:[ \t\r\f]++|//[^\n]*+|" + _BLOCK + r"|\A#!(?!\[)[^\n]*)*+"
+        r"(\n|[bc]?r(#*)\".*?\"\2|[bc]?\"(?:[^\"\\]++|\\.)*+\"|b?'(?:[^'\\\n]|\\(?:u\{[^}\n]*\}|x..|.))'|'[^\W\d]\w*(?!')|r\#[^\W\d]\w*|[^\W\d]\w*"
         r"|0[xX][\da-fA-F_]+\w*|0[bB][01_]+\w*|0[oO][0-7_]+\w*|\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?(?:[eE][+-]?\d[\d_]*)?\w*"
         r"|" + "|".join(map(re.escape, sorted(_OPS, key=len, reverse=True))) + r"|.|\Z)",
         re.S,
