@@ -35,6 +35,9 @@ def test_copies(spark):
     got = reasons(spark, (1, "a/vendor/lib/x.py", CODE), (2, "b/src/y.py", edited), (3, "c/src/z.py", OTHER), (4, "d/src/plain.py", OTHER + "# more\n"), (5, "e/src/small.py", "x = 1\n"), (6, "f/vendor_portal/w.py", CODE.replace("step", "walk").replace("total", "sum").replace("combine", "join")))
     # the group of z and plain shows no sign of another project
     assert got == {0: "vendored", 1: "vendored"}
+    notice = "# plumlib v1.2 | (c) the plumlib authors | released under a licence\n"
+    got = reasons(spark, (1, "a/src/x.py", notice + CODE), (2, "plumlib/src/y.py", notice + OTHER), (3, "c/deps/q-1.0/z.py", CODE.replace("step", "move")))
+    assert got == {0: "vendored", 2: "vendored"}
 
 
 def test_a_third_of_all_files_is_one_text(spark):
