@@ -25,7 +25,7 @@ PROFILE = "doc_id long, lang string, sentences int, n_words long, length double,
 
 def _typical(values: list[float]) -> float:
     """The value at the TYPICAL quantile: a text is as demanding as the larger part of its sentences, whatever single ones are."""
-    return float(np.quantile(values, TYPICAL, method="nearest")) if values else 0.0
+    return float(sorted(values)[round(TYPICAL * (len(values) - 1))]) if values else 0.0
 
 
 def _declared(lang: str | None) -> str:
