@@ -167,9 +167,9 @@ WIDEST = "SELECT source, source AS sid FROM (SELECT repo_id, arg_min(src, (-n, s
 
 @query("blast_down_3", Q.with_(["e"], "SELECT source, r.sid, depth, r.sid NOT IN (SELECT src FROM e) AS is_sink FROM reached r", *Q.reach(WIDEST, False)))
 def _(spark, folder):
-    """What the symbol with most callees in each repository reaches, and where that ends."""
+    """What each symbol that calls something reaches, and where that ends. The SQL has one source a repository only."""
     e = _edges(spark, folder)
-    down = traverse.reach(e, graph.widest(e).select(F.col("sid").alias("source"), "sid"), 3, up=False)
+    down = traverse.reach(e, e.select(F.col("src").alias("source"), F.col("src").alias("sid")), 3, up=False)
     calls = e.select(F.col("src").alias("sid"), F.lit(True).alias("calls")).distinct()
     return down.join(calls, "sid", "left").select("source", "sid", "depth", F.col("calls").isNull().alias("is_sink"))
 

@@ -116,11 +116,6 @@ def busiest(e: DataFrame) -> DataFrame:
     return top.select("repo_id", (-F.col("t.m")).alias("sid"))
 
 
-def widest(e: DataFrame) -> DataFrame:
-    """repo_id, sid: of each repository the symbol with most callees, the least sid among equals."""
-    return busiest(e.select("repo_id", F.col("src").alias("dst"), F.col("dst").alias("src")))
-
-
 def mentions(syms: DataFrame) -> DataFrame:
     """repo_id, word, sid: the names a symbol mentions without calling."""
     return syms.select("repo_id", F.explode("mentions").alias("word"), "sid").where("word IS NOT NULL").distinct()

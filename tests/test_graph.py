@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from symloom import catalog
 from symloom.functions import columns as C
 from symloom.operators import diff, graph, health, traverse
 
@@ -204,3 +205,23 @@ def test_map_limit(make_symbols):
     s = make_symbols({"file": "a.rs", "name": "x", "centrality": 0.5}, {"file": "b.rs", "name": "y", "centrality": 0.7}, {"file": "a.rs", "name": "z", "centrality": None})
     rows = health.module_map(s, limit=2).orderBy("place").collect()
     assert [(r["file"], r["symbols"], r["kept"], r["total"]) for r in rows] == [("b.rs", "function y", 1, 3), ("a.rs", "function x", 1, 3)]
+
+
+def folder_of(symbols, tmp_path):
+    symbols.withColumnRenamed("sid", "symbol_id").write.parquet(f"{tmp_path}/symbols.parquet")
+    return str(tmp_path)
+
+
+def test_blast_down_starts_from_every_caller(spark, make_symbols, tmp_path):
+    calls = {"a": ["b", "c"], "b": ["d"], "c": ["d", "a"], "d": ["e"], "e": ["f"], "f": [], "g": ["b"], "alone": []}
+    names = list(calls)
+    s = make_symbols(*[{"file": "a.rs", "name": n, "calls": c} for n, c in calls.items()], {"file": "z.rs", "name": "y", "calls": ["x"], "repo_id": 2}, {"file": "z.rs", "name": "x", "repo_id": 2})
+    to = {i: [names.index(c) for c in calls[n]] for i, n in enumerate(names)} | {8: [9], 9: []}
+    want = set()
+    for source in (i for i in to if to[i]):
+        depth, frontier = {source: 0}, [source]
+        for d in (1, 2, 3):
+            frontier = [y for x in frontier for y in to[x] if y not in depth and not depth.update({y: d})]
+        want |= {(source, x, d, not to[x]) for x, d in depth.items()}
+    rows = [(r["source"], r["sid"], r["depth"], r["is_sink"]) for r in catalog.QUERIES["blast_down_3"](spark, folder_of(s, tmp_path)).collect()]
+    assert len(rows) == len(want) and set(rows) == want
