@@ -19,7 +19,7 @@ SQL: dict[str, str] = {}
 FIND = "bridge|cache, router<a,b>"
 TERMS = ("bridge", "cache", "router<a,b>")
 LITERALS = ("errors.New", "unwrap_or_else", "raise ValueError")
-ROUNDS = 8
+ROUNDS = 8  # of the SQL only; the queries go on until they converge
 
 
 def query(name: str, sql: str | None = None):
@@ -129,7 +129,7 @@ def _nodes(s: DataFrame) -> DataFrame:
 
 @query("pagerank_global", Q.pagerank(ROUNDS, f"(CASE WHEN {Q.is_test('file', 'name')} THEN 0.25 ELSE 1.0 END)", "w", True))
 def _(spark, folder):
-    r = traverse.pagerank(_nodes(_symbols(spark, folder)), _edges(spark, folder), ROUNDS, 0)
+    r = traverse.pagerank(_nodes(_symbols(spark, folder)), _edges(spark, folder))
     return r.select("repo_id", "sid", F.round("rank", 6).alias("rank"))
 
 
@@ -137,13 +137,13 @@ def _(spark, folder):
 def _(spark, folder):
     s = _symbols(spark, folder)
     focus = s.where(F.lower("name").contains("bridge") | F.lower("file").contains("bridge")).select("sid")
-    r = traverse.pagerank(_nodes(s), _edges(spark, folder), ROUNDS, 0, focus=focus)
+    r = traverse.pagerank(_nodes(s), _edges(spark, folder), focus=focus)
     return r.select("repo_id", "sid", F.round("rank", 6).alias("rank"))
 
 
 @query("pagerank_unweighted", Q.pagerank(ROUNDS, f"(CASE WHEN {Q.is_test('file', 'name')} THEN 0.25 ELSE 1.0 END)", "1.0", True))
 def _(spark, folder):
-    r = traverse.pagerank(_nodes(_symbols(spark, folder)), _edges(spark, folder), ROUNDS, 0, weighted=False)
+    r = traverse.pagerank(_nodes(_symbols(spark, folder)), _edges(spark, folder), weighted=False)
     return r.select("repo_id", "sid", F.round("rank", 6).alias("rank"))
 
 

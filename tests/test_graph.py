@@ -225,3 +225,24 @@ def test_blast_down_starts_from_every_caller(spark, make_symbols, tmp_path):
         want |= {(source, x, d, not to[x]) for x, d in depth.items()}
     rows = [(r["source"], r["sid"], r["depth"], r["is_sink"]) for r in catalog.QUERIES["blast_down_3"](spark, folder_of(s, tmp_path)).collect()]
     assert len(rows) == len(want) and set(rows) == want
+
+
+def test_registered_ranks_converge(spark, make_symbols, tmp_path):
+    """A chain whose ranks still move after eight rounds."""
+    n = 10
+    rows = [{"file": "a.rs" if i < n - 1 else "bridge.rs", "name": f"f{i}", "calls": [f"f{i + 1}"] if i < n - 1 else []} for i in range(n)]
+    rows[0]["file"] = "bridge.rs"
+    rows[3] |= {"calls": ["f4", "f8"], "call_counts": {"f4": 9}}
+    s = make_symbols(*rows)
+    folder = folder_of(s, tmp_path)
+    e = [(r["src"], r["dst"], r["w"]) for r in graph.call_edges(s).collect()]
+    flat = [1 / n] * n
+    wants = {
+        "pagerank_global": brute_rank(n, e, flat, 1000),
+        "pagerank_focus": brute_rank(n, e, [0.5] + [0.0] * (n - 2) + [0.5], 1000),
+        "pagerank_unweighted": brute_rank(n, [(a, b, 1.0) for a, b, _ in e], flat, 1000),
+    }
+    assert len(e) == n and wants["pagerank_global"] != wants["pagerank_unweighted"]
+    for name, want in wants.items():
+        got = {r["sid"]: r["rank"] for r in catalog.QUERIES[name](spark, folder).collect()}
+        assert sum(abs(got[i] - want[i]) for i in range(n)) < 5e-5, name  # ranks are rounded to six digits
