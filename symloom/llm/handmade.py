@@ -54,12 +54,25 @@ _DECL = re.compile(r"^[ \t]*(?:(?:pub(?:\([a-z]+\))?|export|default|static|publi
 
 
 def _opening(text: str) -> list[str]:
-    """The comments before the first code and right after it, in the first 15 lines."""
-    out = []
-    for line in text.lstrip("﻿").split("\n", 16)[:15]:
+    """The comments before the first code however long they are, those right after its first line, and those in the first
+    15 lines. Of a docstring only the first line counts."""
+    out, closing, code = [], "", 0
+    for i, line in enumerate(text.lstrip("﻿").split("\n")):
+        s = line.strip()
+        if code > 1 and i >= 15:
+            break
         m = _HEAD.match(line)
-        if m and m.group(1):
-            out.append(m.group(1))
+        if closing:
+            found = m.group(1) if m else s.removesuffix("*/").strip() if closing == "*/" else ""
+            closing = "" if closing in s else closing
+        else:
+            found = m.group(1) if m else ""
+            opens = next((x for x in ("/*", "<!--", *_DOCSTRING[:2]) if s.startswith(x)), "")
+            ends = {"/*": "*/", "<!--": "-->"}.get(opens, opens)
+            closing = ends if opens and ends not in s[len(opens) :] else ""
+            code += bool(s and not m)
+        if found:
+            out.append(found)
     return out
 
 

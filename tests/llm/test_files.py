@@ -158,3 +158,16 @@ def test_deep_nesting_ends():
     sys.setrecursionlimit(60_000)
     assert parses.faults("x = " + "(" * 900 + "1" + ")" * 900 + ";", "js") == []
     assert isinstance(parses.faults("x = " + "[" * 5000, "js"), list)
+
+
+def test_notices_after_a_long_licence():
+    licence = [f"Licence term {i} of many." for i in range(40)]
+    mark, taken = "Code generated by protoc-gen-go. DO NOT EDIT.", "vendored from github.com/x/y"
+    slashes = "\n".join(f"// {x}" for x in licence)
+    for head in (slashes, "/*\n" + "\n".join(licence) + "\n*/", "/*\n * " + "\n * ".join(licence) + "\n */"):
+        for between in ("\n\n", "\n\npackage m\n\n"):
+            assert handmade._generated(handmade._opening(f"{head}{between}// {mark}\n\nfunc a() {{}}\n"))
+            assert handmade._foreign_notice(handmade._opening(f"{head}{between}// {taken}\n\nfunc a() {{}}\n"), "own/a.go")
+    assert handmade._generated(handmade._opening("/*\n" + "\n".join([*licence, mark]) + "\n*/\npackage m\n"))
+    far = slashes + "\npackage m\nfunc a() {}\n" + f"// {mark}\n"
+    assert not handmade._generated(handmade._opening(far))
