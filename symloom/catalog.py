@@ -19,7 +19,6 @@ SQL: dict[str, str] = {}
 FIND = "bridge|cache, router<a,b>"
 TERMS = ("bridge", "cache", "router<a,b>")
 LITERALS = ("errors.New", "unwrap_or_else", "raise ValueError")
-ROUNDS = 8  # of the SQL only; the queries go on until they converge
 
 
 def query(name: str, sql: str | None = None):
@@ -127,13 +126,13 @@ def _nodes(s: DataFrame) -> DataFrame:
     return s.select("repo_id", "sid", C.is_test().alias("is_test"))
 
 
-@query("pagerank_global", Q.pagerank(ROUNDS, f"(CASE WHEN {Q.is_test('file', 'name')} THEN 0.25 ELSE 1.0 END)", "w", True))
+@query("pagerank_global", Q.pagerank(f"(CASE WHEN {Q.is_test('file', 'name')} THEN 0.25 ELSE 1.0 END)", "w", True))
 def _(spark, folder):
     r = traverse.pagerank(_nodes(_symbols(spark, folder)), _edges(spark, folder))
     return r.select("repo_id", "sid", F.round("rank", 6).alias("rank"))
 
 
-@query("pagerank_focus", Q.pagerank(ROUNDS, "(CASE WHEN contains(lower(name), 'bridge') OR contains(lower(file), 'bridge') THEN 1.0 ELSE 0.0 END)", "w", False))
+@query("pagerank_focus", Q.pagerank("(CASE WHEN contains(lower(name), 'bridge') OR contains(lower(file), 'bridge') THEN 1.0 ELSE 0.0 END)", "w", False))
 def _(spark, folder):
     s = _symbols(spark, folder)
     focus = s.where(F.lower("name").contains("bridge") | F.lower("file").contains("bridge")).select("sid")
@@ -141,7 +140,7 @@ def _(spark, folder):
     return r.select("repo_id", "sid", F.round("rank", 6).alias("rank"))
 
 
-@query("pagerank_unweighted", Q.pagerank(ROUNDS, f"(CASE WHEN {Q.is_test('file', 'name')} THEN 0.25 ELSE 1.0 END)", "1.0", True))
+@query("pagerank_unweighted", Q.pagerank(f"(CASE WHEN {Q.is_test('file', 'name')} THEN 0.25 ELSE 1.0 END)", "1.0", True))
 def _(spark, folder):
     r = traverse.pagerank(_nodes(_symbols(spark, folder)), _edges(spark, folder), weighted=False)
     return r.select("repo_id", "sid", F.round("rank", 6).alias("rank"))
@@ -162,12 +161,12 @@ def _(spark, folder):
     return traverse.reach(e, _seeds(s, e), 3)
 
 
-WIDEST = "SELECT source, source AS sid FROM (SELECT repo_id, arg_min(src, (-n, src)) AS source FROM (SELECT repo_id, src, count(*) AS n FROM e GROUP BY ALL) GROUP BY repo_id)"
+CALLING = "SELECT src AS source, src AS sid FROM e"
 
 
-@query("blast_down_3", Q.with_(["e"], "SELECT source, r.sid, depth, r.sid NOT IN (SELECT src FROM e) AS is_sink FROM reached r", *Q.reach(WIDEST, False)))
+@query("blast_down_3", Q.with_(["e"], "SELECT source, r.sid, depth, r.sid NOT IN (SELECT src FROM e) AS is_sink FROM reached r", *Q.reach(CALLING, False)))
 def _(spark, folder):
-    """What each symbol that calls something reaches, and where that ends. The SQL has one source a repository only."""
+    """What each symbol that calls something reaches, and where that ends."""
     e = _edges(spark, folder)
     down = traverse.reach(e, e.select(F.col("src").alias("source"), F.col("src").alias("sid")), 3, up=False)
     calls = e.select(F.col("src").alias("sid"), F.lit(True).alias("calls")).distinct()

@@ -111,19 +111,20 @@ def reach(seeds: str, up: bool, depth: int = 3) -> list[str]:
     return out
 
 
-def pagerank(rounds: int, mass: str, weight: str, demote: bool) -> str:
+def pagerank(mass: str, weight: str, demote: bool, rounds: int = 100, tolerance: float = 1e-6) -> str:
+    """Rounds go on until no repository's ranks move by `tolerance` together, as the operator's do."""
     parts = [
         f"node AS MATERIALIZED (SELECT repo_id, sid, {is_test('file', 'name')} AS is_test, {mass} AS m FROM s)",
         f"t AS MATERIALIZED (SELECT src, dst, {weight} / sum({weight}) OVER (PARTITION BY src) AS p FROM e)",
-        "b AS MATERIALIZED (SELECT repo_id, sid, is_test, m / sum(m) OVER (PARTITION BY repo_id) AS prior, 1.0 / count(*) OVER (PARTITION BY repo_id) AS rank, sid IN (SELECT src FROM t) AS flows FROM node QUALIFY sum(m) OVER (PARTITION BY repo_id) > 0)",
+        "b AS MATERIALIZED (SELECT repo_id, sid, is_test, m / sum(m) OVER (PARTITION BY repo_id) AS prior, 1.0::DOUBLE / count(*) OVER (PARTITION BY repo_id) AS rank, sid IN (SELECT src FROM t) AS flows FROM node QUALIFY sum(m) OVER (PARTITION BY repo_id) > 0)",
+        f"""k AS (SELECT 0 AS round, repo_id, sid, is_test, prior, flows, rank, 1.0::DOUBLE AS moved FROM b UNION ALL
+SELECT round, repo_id, sid, is_test, prior, flows, rank, max(change) OVER () AS moved FROM (
+  SELECT n.round + 1 AS round, n.repo_id, n.sid, n.is_test, n.prior, n.flows, x.rank, sum(abs(x.rank - n.rank)) OVER (PARTITION BY n.repo_id) AS change FROM k n
+  JOIN (SELECT n.sid, 0.15 * n.prior + 0.85 * (coalesce(i.x, 0) + coalesce(l.x, 0) * n.prior) AS rank FROM k n
+    LEFT JOIN (SELECT t.dst, sum(k.rank * t.p) AS x FROM k JOIN t ON t.src = k.sid GROUP BY t.dst) i ON i.dst = n.sid
+    LEFT JOIN (SELECT repo_id, sum(rank) AS x FROM k WHERE NOT flows GROUP BY repo_id) l ON l.repo_id = n.repo_id) x ON x.sid = n.sid
+  WHERE n.round < {rounds} AND n.moved >= {tolerance}))""",
     ]
-    last = "b"
-    for i in range(rounds):
-        parts.append(
-            f"k{i} AS MATERIALIZED (SELECT n.repo_id, n.sid, n.is_test, n.prior, n.flows, 0.15 * n.prior + 0.85 * (coalesce(i.x, 0) + coalesce(l.x, 0) * n.prior) AS rank FROM {last} n "
-            f"LEFT JOIN (SELECT t.dst, sum(k.rank * t.p) AS x FROM {last} k JOIN t ON t.src = k.sid GROUP BY t.dst) i ON i.dst = n.sid LEFT JOIN (SELECT repo_id, sum(rank) AS x FROM {last} WHERE NOT flows GROUP BY repo_id) l ON l.repo_id = n.repo_id)"
-        )
-        last = f"k{i}"
     value = "rank * (CASE WHEN is_test THEN 0.25 ELSE 1 END)" if demote else "rank"
     total = f"/ sum({value}) OVER (PARTITION BY repo_id)" if demote else ""
-    return with_(["s", "e"], f"SELECT repo_id, sid, round({value} {total}, 6) AS rank FROM {last}", *(["f0 AS (SELECT 1)"]), *parts)
+    return "WITH RECURSIVE" + with_(["s", "e"], f"SELECT repo_id, sid, round({value} {total}, 6) AS rank FROM k WHERE round = (SELECT max(round) FROM k)", *parts)[4:]
