@@ -80,7 +80,7 @@ def test_boundaries_are_optimal(histogram, buckets):
 def test_plan_places_every_item_once(histogram):
     runs, _ = pack.plan(histogram, 50, 6)
     room, seen = {}, {k: [] for k in histogram}
-    for size, first, last, per, start in runs:
+    for size, first, last, per, start, _ in runs:
         for i in range(first, last + 1):
             c = start + (i - first) // per
             room[c] = room.get(c, 0) + size
@@ -89,6 +89,48 @@ def test_plan_places_every_item_once(histogram):
     assert all(v <= 50 for v in room.values())
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.integers(1, 50), st.integers(1, 40), min_size=3, max_size=20), st.integers(2, 6))
+def test_batches_form_inside_their_bucket(histogram, buckets):
+    """Of a batch with room for one more item of its own bucket, none was left; a filled item comes from a shorter bucket."""
+    runs, limits = pack.plan(histogram, 50, buckets)
+    bucket = lambda k: min(x for x in limits if x >= k)
+    held, batch = {}, {}
+    for size, first, last, per, start, b in runs:
+        assert bucket(size) <= b
+        for i in range(first, last + 1):
+            held.setdefault(start + (i - first) // per, []).append(size)
+            batch[start + (i - first) // per] = b
+    assert all(any(bucket(k) == batch[c] for k in v) for c, v in held.items())
+    # the longest bucket closes first: all but its last batch are too full for its smallest item
+    top = limits[-1]
+    own = sorted(sum(k for k in v if bucket(k) == top) for c, v in held.items() if batch[c] == top)
+    smallest = min(k for k in histogram if bucket(k) == top)
+    assert sum(50 - x >= smallest for x in own) <= 1 or len(limits) == 1
+
+
+def test_limits_decide_what_goes_together():
+    histogram = {60: 4, 45: 4, 30: 8, 25: 8, 10: 40, 7: 20, 3: 9}
+    plans = {b: pack.plan(histogram, 100, b) for b in (1, 2, 4, 7)}
+    assert len({tuple(p[0]) for p in plans.values()}) == 4
+    for b, (runs, limits) in plans.items():
+        assert len(limits) <= b
+        room = {}
+        for size, first, last, per, start, _ in runs:
+            for i in range(first, last + 1):
+                room[start + (i - first) // per] = room.get(start + (i - first) // per, 0) + size
+        assert max(room.values()) <= 100
+
+
+def test_padding_adds_up(spark):
+    df = spark.createDataFrame([(i, "word " * (1 + i * 7 % 60), "x") for i in range(90)], "doc_id long, text string, tokens string")
+    packed = pack.pack(df, capacity=64, buckets=5)
+    rows = pack.padding(packed, 64).collect()
+    assert sum(r["tokens"] for r in rows) == packed.agg(F.sum("tokens")).first()[0]
+    assert all(r["empty"] == r["containers"] * 64 - r["tokens"] >= 0 and r["filled"] <= r["tokens"] for r in rows)
+    assert len(rows) > 1
+
+
 def test_pack_cases(spark):
     random.seed(0)
     rows = [(i, "word " * random.randint(1, 300), "x") for i in range(120)]
