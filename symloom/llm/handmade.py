@@ -1,10 +1,14 @@
 """Problem 1: files that nobody wrote by hand in their repository.
 
-Copies: the hashes of all significant lines form an inverted index. A line votes for the first file that has it and for
-the first one in another repository, so a line in n files gives at most 2n votes however common it is, and the votes of
-rare lines agree while those of common lines scatter. Files that a share of a file's lines vote for are candidates; the
-exact containment of the file in each is counted over all its lines. A copy is vendored where it or the group of copies
-shows signs of a foreign project: a folder for dependencies or a notice of another project.
+Copies: files with the same significant lines are one class. The hashes of the lines of all classes form an inverted
+index of the lines that several repositories have, with how many classes have each. A class of n lines contained in
+another one to the share c has at least one of its n - ceil(c n) + 1 rarest lines in common with it, so only these rare
+lines are looked up; no pair that reaches the share is lost. Each class is compared first with the one class that most of
+its rare lines point to. Classes so linked form groups, and only pairs of classes in different groups that share a rare
+line are compared further: a family of copies needs a number of comparisons in proportion to its size, yet which classes
+are connected comes out as if all pairs had been compared. The containment of each compared pair is counted exactly.
+A copy is vendored where it or any of those it is connected with shows signs of a foreign project: a folder for
+dependencies or a notice of another project.
 
 The other files are judged by their token composition: notices of tools in the first lines, methods stamped from one
 shape, minified text, and the share that literal data has.
@@ -15,16 +19,18 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symloom.util import spread, table, written
 
-LEAST_LINE, LEAST_SHARED, VOTED, CONTAINED = 12, 3, 0.3, 0.6
-MARKS = "file_id long, repo_id long, path string, generated boolean, stamped boolean, minified boolean, data boolean, notice boolean, folder boolean, lines array<long>"
+LEAST_LINE, LEAST_SHARED, CONTAINED, JUMPS = 12, 3, 0.6, 3
+MARKS = "file_id long, repo_id long, path string, generated boolean, stamped boolean, minified boolean, data boolean, notice boolean, folder boolean, class binary, lines array<long>"
 
 _HEAD = re.compile(r"^\s*(?://+|#+|/\*+!?|\*+|--+|;+|<!--|\"\"\"|'''|@)\s*(.*?)\s*(?:\*/|-->|\"\"\"|''')?\s*$")
 # What tools write about their output; a sentence about other files or one that says the file is kept by hand is none.
@@ -153,8 +159,8 @@ def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             minified = _minified(text, lines)
             values = 0.0 if minified else _data(text, lines)
             generated = _generated(opening) or (values >= 0.4 and bool(_NAMED.search(path) or _BUILD.search(path)))
-            known = {digest(s) - (1 << 63) for s in map(str.strip, lines) if len(s) >= LEAST_LINE}
-            rows.append((fid, repo, path, generated, _stamped(text, lines), minified, values >= 0.8, _foreign_notice(opening, path), bool(_FOLDER.search(path)), list(known)))
+            known = np.array(sorted({digest(s) - (1 << 63) for s in map(str.strip, lines) if len(s) >= LEAST_LINE}), np.int64)
+            rows.append((fid, repo, path, generated, _stamped(text, lines), minified, values >= 0.8, _foreign_notice(opening, path), bool(_FOLDER.search(path)), blake2b(known.tobytes(), digest_size=16).digest(), known))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in MARKS.split(", ")])
 
 
@@ -164,40 +170,89 @@ def composition(files: DataFrame) -> DataFrame:
     return spread(rows).mapInPandas(_marks, MARKS)
 
 
-def copies(marks: DataFrame) -> DataFrame:
-    """file_id, other: the files whose lines are contained in `other` of another repository, by exact containment.
-
-    Votes grow with the number of lines, never with the square of the files that share one. Files of fewer than
-    LEAST_SHARED lines are no copies; a null repo_id is a repository of its own."""
-    m = marks.select("file_id", F.coalesce("repo_id", -F.col("file_id")).alias("repo"), "lines", F.size("lines").alias("n")).where(F.col("n") >= LEAST_SHARED)
-    line = m.select("file_id", "repo", "n", F.explode("lines").alias("h"))
-    # the first file of the first repository and the first file of the last one: one of them is of another repository
-    first = F.struct("repo", "file_id")
-    index = line.groupBy("h").agg(F.min(first).alias("a"), F.max(first).alias("b")).where("a.repo < b.repo").select("h", F.col("a.repo").alias("repo_a"), F.col("a.file_id").alias("a"), F.col("b.repo").alias("repo_b"), F.col("b.file_id").alias("b"))
-    votes = line.join(index, "h").select("file_id", "n", F.explode(F.array(F.when(F.col("repo") != F.col("repo_a"), F.col("a")), F.when(F.col("repo") != F.col("repo_b"), F.col("b")))).alias("other")).where("other is not null")
-    counted = votes.groupBy("file_id", "other").agg(F.count(F.lit(1)).alias("votes"), F.max("n").alias("n"))
-    candidates = counted.where((F.col("votes") >= LEAST_SHARED) & (F.col("votes") >= VOTED * F.col("n"))).select("file_id", "other", "n")
-    sides = candidates.join(marks.select("file_id", "lines"), "file_id").join(marks.select(F.col("file_id").alias("other"), F.col("lines").alias("there")), "other")
-    return sides.withColumn("shared", F.size(F.array_intersect("lines", "there"))).where(F.col("shared") >= CONTAINED * F.col("n")).select("file_id", "other", F.round(F.col("shared") / F.col("n"), 4).alias("contained"))
-
-
-def not_by_hand(files: DataFrame) -> DataFrame:
+def classes(marks: DataFrame) -> DataFrame:
+    """class, n, low, high, foreign, lines of each set of significant lines: how many lines, the least and greatest
+    repository of the files that have it, and whether one of them shows a sign. Sets of fewer than LEAST_SHARED lines are
+    left out; a null repo_id is a repository of its own."""
+    repo = F.coalesce("repo_id", -F.col("file_id"))
+    rows = marks.select("class", "lines", F.size("lines").alias("n"), repo.alias("repo"), (F.col("notice") | F.col("folder")).alias("foreign")).where(F.col("n") >= LEAST_SHARED)
+    return rows.groupBy("class").agg(F.max("n").alias("n"), F.min("repo").alias("low"), F.max("repo").alias("high"), F.max("foreign").alias("foreign"), F.first("lines").alias("lines"))
+
+
+def _needed(n: Column, contained: float) -> Column:
+    return F.ceil(n * contained - 1e-9)
+
+
+def _verified(pairs: DataFrame, known: DataFrame, contained: float) -> DataFrame:
+    """a, b of the pairs of classes of which one contains `contained` of the lines of the other, counted exactly."""
+    side = lambda x: known.select(F.col("class").alias(x), F.col("n").alias("n_" + x), F.col("lines").alias("lines_" + x))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    shared = F.size(F.array_intersect("lines_a", "lines_b"))
+    return both.where(shared >= F.greatest(F.lit(LEAST_SHARED), _needed(F.least("n_a", "n_b"), contained))).select("a", "b")
+
+
+def links(known: DataFrame, contained: float = CONTAINED) -> DataFrame:
+    """a, b: verified pairs of classes of different repositories that connect the same classes as all such pairs do."""
+    line = known.select("class", "n", "low", "high", F.explode("lines").alias("h"))
+    first, last = F.struct("low", "class"), F.struct("high", "class")
+    index = line.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("low").alias("least"), F.max("high").alias("most"), F.min(first)["class"].alias("first"), F.max(last)["class"].alias("last")).where("df > 1 AND least < most")
+    posted = written(line.join(index.select("h", "df", "first", "last"), "h"))
+    # lines that no other repository has are the rarest; they share nothing
+    by = Window.partitionBy("class")
+    rare = posted.withColumn("place", F.row_number().over(by.orderBy("df", "h")) + F.col("n") - F.count(F.lit(1)).over(by))
+    rare = written(rare.where(F.col("place") <= F.col("n") - _needed(F.col("n"), contained) + 1).select("class", "n", "low", "high", "h", "first", "last"))
+    # one pivot a class, always of a lesser id, so that following pivots ends
+    votes = rare.select("class", F.explode(F.array("first", "last")).alias("other")).where(F.col("other") < F.col("class")).groupBy("class", "other").agg(F.count(F.lit(1)).alias("votes"))
+    pivot = votes.groupBy(F.col("class").alias("a")).agg(F.max(F.struct("votes", F.col("other").alias("b")))["b"].alias("b"))
+    foreign = lambda p: F.least(p("low"), p("low_")) < F.greatest(p("high"), p("high_"))
+    ends = known.select("class", "low", "high")
+    pivot = pivot.join(ends.withColumnRenamed("class", "a"), "a").join(ends.select(F.col("class").alias("b"), F.col("low").alias("low_"), F.col("high").alias("high_")), "b").where(foreign(F.col)).select("a", "b")
+    stars = written(_verified(pivot, known, contained))
+    label = stars.select(F.col("a").alias("class"), F.col("b").alias("group"))
+    for _ in range(JUMPS):
+        label = label.join(stars.select(F.col("a").alias("group"), F.col("b").alias("next")), "group", "left").select("class", F.coalesce("next", "group").alias("group"))
+    label = written(label)
+    grouped = lambda df: df.join(label, "class", "left").withColumn("group", F.coalesce("group", "class"))
+    seekers = written(grouped(rare.select("class", "n", "low", "high", "h")))
+    holders = written(grouped(posted.join(rare.select("h").distinct(), "h", "left_semi").select("class", "n", "low", "high", "h")))
+    crossing = seekers.select("h", "group").distinct().join(holders.select("h", F.col("group").alias("there")).distinct(), "h").where("group <> there")
+    here = seekers.join(crossing, ["h", "group"]).select("h", "there", F.col("class").alias("a"), "n", "low", "high")
+    there = holders.select("h", F.col("group").alias("there"), F.col("class").alias("b"), F.col("n").alias("n_"), F.col("low").alias("low_"), F.col("high").alias("high_"))
+    pairs = here.join(there, ["h", "there"]).where((F.col("n_") >= _needed(F.col("n"), contained)) & foreign(F.col))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return stars.unionByName(_verified(pairs, known, contained))
+
+
+def connected(seeds: DataFrame, pairs: DataFrame) -> DataFrame:
+    """class: all that are connected with a seed. A round per step away from the seeds, each over the links of the last
+    round's classes only, so the work grows with the links; rounds are written."""
+    both = written(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    frontier = seeds.select("class").distinct()
+    reached = [frontier]
+    while True:
+        seen = reduce(DataFrame.unionByName, reached)
+        found = frontier.select(F.col("class").alias("a")).join(both, "a").select(F.col("b").alias("class")).distinct()
+        frontier = written(found.join(seen, "class", "left_anti"))
+        if frontier.isEmpty():
+            return seen
+        reached.append(frontier)
+
+
+def not_by_hand(files: DataFrame, contained: float = CONTAINED) -> DataFrame:
     """file_id, reason (generated, minified, data, vendored) of each file that is not hand-written, one row a file.
 
     Empty and null texts are hand-written unless their folder or notice says that they are copied. A notice of another
-    project or a folder for dependencies is enough by itself; copies without either are told by the group they belong to.
-    Redelivered rows count once; of a file with several reasons the first in the order above is given."""
-    marks = written(composition(files).dropDuplicates(["file_id"]))
-    found = written(copies(marks))
-    signs = marks.select("file_id", (F.col("notice") | F.col("folder")).alias("foreign"))
-    linked = found.join(signs, "file_id").join(signs.select(F.col("file_id").alias("other"), F.col("foreign").alias("there")), "other")
-    # the sign may be on any copy of the group: a round over the links carries it from the file voted for to its voters
-    group = linked.groupBy("other").agg(F.max("foreign").alias("some"), F.max("there").alias("own")).select("other", (F.col("some") | F.col("own")).alias("marked"))
-    near = found.join(group, "other").groupBy("file_id").agg(F.max("marked").alias("vendored"))
-    back = group.where("marked").select(F.col("other").alias("file_id"), F.lit(True).alias("source"))
-    judged = marks.drop("lines").join(near, "file_id", "left").join(back, "file_id", "left")
-    vendored = F.coalesce("vendored", F.lit(False)) | F.coalesce("source", F.lit(False)) | F.col("notice") | F.col("folder")
-    reason = F.when(F.col("generated") | F.col("stamped"), "generated").when(F.col("minified"), "minified").when(F.col("data"), "data").when(vendored, "vendored")
+    project or a folder for dependencies is enough by itself; copies without either are told by those they are connected
+    with. Redelivered rows count once; of a file with several reasons the first in the order above is given."""
+    marks = written(composition(files))
+    known = written(classes(marks))
+    pairs = written(links(known, contained))
+    # the files of a class are connected through another repository: one of the class's own, or one of a linked class
+    joined = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(known.where("low < high").select("class")).distinct()
+    vendored = connected(known.where("foreign").select("class").join(joined, "class", "left_semi"), pairs).withColumn("vendored", F.lit(True))
+    judged = marks.drop("lines").dropDuplicates(["file_id"]).join(vendored, "class", "left")
+    copied = F.coalesce("vendored", F.lit(False)) | F.col("notice") | F.col("folder")
+    reason = F.when(F.col("generated") | F.col("stamped"), "generated").when(F.col("minified"), "minified").when(F.col("data"), "data").when(copied, "vendored")
     return judged.select("file_id", reason.alias("reason")).where("reason is not null")
 
 

@@ -45,6 +45,56 @@ def test_a_third_of_all_files_is_one_text(spark):
     assert {k for k, v in reasons(spark, *rows).items() if v == "vendored"} == {i for i in range(30) if i % 3 == 0}
 
 
+def linked(files, share=0.6):
+    """Components by comparing all pairs of files of different repositories."""
+    lines = {f: {x.strip() for x in text.split("\n") if len(x.strip()) >= handmade.LEAST_LINE} for f, _, text in files}
+    repo = {f: r for f, r, _ in files}
+    group = {f: f for f in lines}
+    for a in lines:
+        for b in lines:
+            n = len(lines[a])
+            if repo[a] != repo[b] and n >= 3 and len(lines[b]) >= 3 and len(lines[a] & lines[b]) >= max(3, share * n):
+                x, y = group[a], group[b]
+                group = {k: (x if v == y else v) for k, v in group.items()}
+    return group
+
+
+def test_copies_equal_all_pairs(spark):
+    random.seed(11)
+    pool = [f"shared statement number {i}" for i in range(60)]
+    for trial in range(3):
+        files = []
+        for i in range(45):
+            base = random.choice((0, 20, 40))
+            kept = random.sample(pool[base : base + 20], random.randint(4, 14)) if i % 3 else []
+            own = [f"own line {trial} {i} {k} of this file" for k in range(random.randint(0, 8))]
+            common = random.sample(["return None here", "import os, sys, re", "value = compute()"], random.randint(0, 3))
+            files.append((i, i % 7, "\n".join(kept + own + common)))
+        files.append((100, 50, files[1][2]))
+        group = linked(files)
+        signs = {files[k][0] for k in (1, 17, 32)}
+        want = {f for f in group if any(group[f] == group[s] for s in signs)}
+        rows = [(f, r, f"r{r}/deps/x{f}.py" if f in signs else f"r{r}/x{f}.py", t, None, None, None) for f, r, t in files]
+        got = {r["file_id"] for r in handmade.not_by_hand(spark.createDataFrame(rows, FILES)).where("reason = 'vendored'").collect()}
+        assert got == want
+
+
+def test_shared_lines_that_others_have_too(spark):
+    """A copy at the very limit, whose shared lines mostly stand in other files as well."""
+    body = [f"line {i} of the library" for i in range(12)]
+    a = body + [f"first {i} edits of mine" for i in range(8)]
+    b = body + [f"second {i} edits of mine" for i in range(8)]
+    rows = [(5, "m/deps/a.py", a), (6, "n/b.py", b), (1, "c/low.py", body[:7] + [f"low {i} other things" for i in range(30)]), (9, "z/high.py", body[:7] + [f"high {i} other things" for i in range(30)])]
+    got = reasons(spark, *[(r, p, "\n".join(x)) for r, p, x in rows])
+    assert got == {0: "vendored", 1: "vendored"}
+
+
+def test_signs_go_through_a_chain_of_edits(spark):
+    lines = [f"statement {i} of the chain" for i in range(40)]
+    rows = [(i, f"r{i}/{'vendor/' if i == 0 else ''}x.py", "\n".join(lines[3 * i : 3 * i + 10])) for i in range(6)]
+    assert set(reasons(spark, *rows)) == {0, 1, 2, 3, 4, 5}
+
+
 def test_no_files(spark):
     df = spark.createDataFrame([], FILES)
     assert handmade.not_by_hand(df).count() == 0
