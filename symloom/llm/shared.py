@@ -1,28 +1,38 @@
 """Problem 4: long exact spans shared between records.
 
-A span of SPAN characters holds a sequence of gram hashes; its min-hash is the least of them. The compact windows of a
-text are the nodes of the Cartesian tree over its gram hashes that are the least of at least one whole span: each stands
-for the interval of span starts that share this minimum, so a text has about two windows per span length instead of one
-signature per character. A span that stands in two texts has the same min-hash in both: joining windows on it loses
-none. Only windows whose min-hash several files and several distinct texts have are verified, span start by span start.
-
-No pairs are formed: which spans are shared is told by the least and the greatest file that hold them.
+Tokens are words, runs of white space and single marks; runs beyond a limit are cut where their content says so, so that
+what is inside a span is cut alike wherever it stands. Each shingle of five tokens has a hash under each of HASHES hash
+functions; a span's signature under one of them is the least hash of the shingles that lie inside it. The Cartesian tree
+over the hashes of a text gives its compact windows: a node is the least of all ranges between the nearest lesser hashes
+on both sides, so each node stands for an interval of span starts that share their signature, and a text has about two
+windows a span length instead of a signature per character.
+
+1. Windows under the first function are joined on their signature; those that one file has alone are dropped.
+2. What is left is cut by the windows of all functions: the interval join across the hashes gives cells of span starts
+   that agree on all signatures. Equal spans agree on all of them, so cells whose signatures one file has alone hold none.
+3. Cells are compared text to text: those whose whole text several files have are shared; of the others, whose signatures
+   other cells share, each span is compared by a digest of its text.
+
+No pairs are formed: whether a text is shared is told by the least and the greatest file that hold it, and results are
+intervals of span starts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symloom.util import spread, table, written
 
-SPAN, GRAM, CHUNK = 200, 64, 1 << 20
+SPAN, SHINGLE, HASHES, CHUNK = 200, 5, 3, 1 << 20
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_FAR = 1 << 60
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -31,8 +41,48 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(32))
+    h *= _MIX
+    h ^= h >> np.uint64(29)
+    h *= _MIX
+    return h ^ (h >> np.uint64(32))
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """Limits that leave at least one shingle inside every span: with `space` and `word` the longest tokens, five tokens
+    take at most 3 space + 2 word characters, and at each end of a span 2 space may be lost."""
+
+    span: int = SPAN
+
+    def __post_init__(self) -> None:
+        assert self.span >= 25
+
+    @property
+    def space(self) -> int:
+        return self.span * 2 // 25
+
+    @property
+    def word(self) -> int:
+        return self.span * 2 // 25
+
+    @property
+    def window(self) -> int:
+        return max(1, self.span // 25)
+
+    @property
+    def gram(self) -> int:
+        return max(1, self.span // 50)
+
+    @property
+    def margin(self) -> int:
+        """So many characters from the ends of a span on, the cuts between tokens depend on the span alone."""
+        return max(self.space + 1, 2 * self.window + self.gram - 3)
+
+
 class Grams:
-    """Hashes of all substrings of one length in a block of texts, from prefix sums of a polynomial modulo 2**64."""
+    """Hashes of the substrings of a block of texts, from prefix sums of a polynomial modulo 2**64."""
 
     def __init__(self, texts: list[str]):
         self.codes = np.concatenate([np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts])
@@ -43,41 +93,97 @@ class Grams:
         self.inverse = _powers(_INVERSE, n + 1)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.codes.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), dtype=np.uint64)])
 
-    def at(self, i: np.ndarray | slice, length: int, j: np.ndarray | slice | None = None) -> np.ndarray:
-        """Hashes of the substrings of that length from i; j is i + length where i is a slice."""
-        h = (self.sums[i + length if j is None else j] - self.sums[i]) * self.inverse[i]
-        h ^= h >> np.uint64(32)
-        h *= _MIX
-        h ^= h >> np.uint64(29)
-        return h
-
-
-def compact_windows(texts: list[str], span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first, last, min-hash): the spans of `text` that start at first..last have that minimum of gram hashes."""
-    g = Grams(texts)
-    n, width = len(g.codes), span - gram + 1
-    if n < span:
-        empty = np.zeros(0, np.int64)
-        return empty, empty, empty, empty
-    h = g.at(slice(0, n - gram + 1), gram, slice(gram, n + 1))
-    bits = np.uint64(max(1, int(n).bit_length()))
-    low = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
+    def at(self, i: np.ndarray | slice, j: np.ndarray | slice) -> np.ndarray:
+        """Hashes of the substrings from i to j."""
+        return mixed((self.sums[j] - self.sums[i]) * self.inverse[i])
+
+
+# 0 mark, 1 word, 2 space; letters beyond ASCII are words
+_CLASS = np.ones(129, np.uint8)
+for _c in range(128):
+    _CLASS[_c] = 1 if chr(_c).isalnum() or _c == 95 else 2 if chr(_c).isspace() else 0
+
+
+def _chosen(g: Grams, scheme: Scheme) -> np.ndarray:
+    """Positions that begin the least gram (the last of equals) of some window of consecutive positions."""
+    n, w, k = len(g.codes), scheme.window, scheme.gram
+    if n < w + k:
+        return np.arange(n)
+    h = g.at(slice(0, n - k + 1), slice(k, n + 1))
+    bits = np.uint64(int(n).bit_length())
+    at = np.arange(len(h), dtype=np.uint64)
+    top = np.uint64(len(h))
+    low = (h >> bits << bits) | (top - at)
     have = 1
-    while 2 * have <= width:
+    while 2 * have <= w:
         low = np.minimum(low[:-have], low[have:])
         have *= 2
-    if have < width:
-        low = np.minimum(low[: len(low) - (width - have)], low[width - have :])
-    least = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    owner = np.searchsorted(g.ends, np.arange(len(least)), side="right")
-    valid = np.arange(len(least)) + span <= g.ends[owner]
-    change = np.concatenate([[True], (np.diff(least) != 0) | (np.diff(owner) != 0) | (np.diff(valid.astype(np.int8)) != 0)])
-    first = np.flatnonzero(change)
-    last = np.concatenate([first[1:], [len(least)]]) - 1
-    keep = valid[first]
-    first, last = first[keep], last[keep]
-    base = g.starts[owner[first]]
-    return owner[first], first - base, last - base, h[least[first]].view(np.int64)
+    if have < w:
+        low = np.minimum(low[: len(low) - (w - have)], low[w - have :])
+    least = top - (low & ((np.uint64(1) << bits) - np.uint64(1)))
+    return np.unique(least.astype(np.int64))
+
+
+def shingles(g: Grams, scheme: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of each run of SHINGLE tokens in the block."""
+    n = len(g.codes)
+    kind = _CLASS[np.minimum(g.codes, 128)]
+    new = np.ones(n, bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 0)
+    new[g.starts] = True
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, n))
+    long = size > np.where(kind[start] == 2, scheme.space, scheme.word)
+    if long.any():
+        inside = np.repeat(long, size)
+        cut = _chosen(g, scheme)
+        new[cut[inside[cut]]] = True
+        start = np.flatnonzero(new)
+    end = np.append(start[1:], n)
+    text = np.searchsorted(g.ends, start, side="right")
+    whole = text[SHINGLE - 1 :] == text[: len(text) - SHINGLE + 1]
+    return text[: len(whole)][whole], start[: len(whole)][whole], end[SHINGLE - 1 :][whole]
+
+
+def nearest_lesser(v: np.ndarray, nodes: np.ndarray, step: int) -> np.ndarray:
+    """Of each node the nearest position before it (step -1; one that is equal counts) or after it (step 1) with a lesser
+    value. Pointers skip what is greater through the pointers found so far. These neighbours are the Cartesian tree: the
+    greater of the two is the parent."""
+    p = np.arange(len(v)) + step
+    live = nodes
+    while True:
+        other, own = v[p[live]], v[live]
+        live = live[other > own if step < 0 else other >= own]
+        if not len(live):
+            return p
+        p[live] = p[p[live]]
+
+
+class Windows:
+    """The compact windows of a block of texts under any of the hash functions."""
+
+    def __init__(self, texts: list[str], scheme: Scheme):
+        self.scheme, self.g = scheme, Grams(texts)
+        text, start, end = shingles(self.g, scheme)
+        self.text, self.hash = text, self.g.at(start, end)
+        # a guard before and behind the shingles of each text
+        self.slot = np.arange(len(text)) + text + 1
+        size = len(text) + len(texts) + 1
+        self.start, self.end = np.full(size, -_FAR), np.full(size, _FAR)
+        self.start[self.slot], self.end[self.slot] = start, end
+
+    def under(self, function: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first, last, signature): the spans that start at first..last of the block have that least hash."""
+        s, g = self.scheme, self.g
+        seed = np.uint64((function + 1) * 0xA24BAED4963EE407 % (1 << 64))
+        v = np.zeros(len(self.start), np.uint64)
+        v[self.slot] = mixed(self.hash ^ seed) | np.uint64(1)
+        before, after = nearest_lesser(v, self.slot, -1), nearest_lesser(v, self.slot, 1)
+        c, m = self.slot, s.margin
+        first = np.maximum(np.maximum(self.start[before[c]] - m + 1, self.end[c] - s.span + m), g.starts[self.text])
+        last = np.minimum(np.minimum(self.end[after[c]] - s.span + m - 1, self.start[c] - m), g.ends[self.text] - s.span)
+        keep = first <= last
+        return self.text[keep], first[keep], last[keep], v[c[keep]]
 
 
 def _blocks(b: pd.DataFrame, text: str) -> Iterator[pd.DataFrame]:
@@ -87,70 +193,113 @@ def _blocks(b: pd.DataFrame, text: str) -> Iterator[pd.DataFrame]:
         yield part
 
 
-def _windows(span: int, gram: int):
+def _signed(scheme: Scheme):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            # copies in a batch are one text with the least and the greatest of their files
+            b = b.groupby("copy", sort=False).agg(body=("body", "first"), sid=("symbol_id", "min"), least=("file_id", "min"), most=("file_id", "max")).reset_index(drop=True)
+            for part in _blocks(b, "body"):
+                w = Windows(part["body"].tolist(), scheme)
+                text, first, last, low = w.under(0)
+                base = w.g.starts[text]
+                least, most = part["least"].to_numpy()[text], part["most"].to_numpy()[text]
+                out = pd.DataFrame({"key": low.view(np.int64), "sid": part["sid"].to_numpy()[text], "file": least, "first": (first - base).astype(np.int32)})
+                yield out
+                if (several := least < most).any():
+                    yield out[several].assign(file=most[several])
+
+    return run
+
+
+def _celled(scheme: Scheme, hashes: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for part in _blocks(b, "body"):
-                text, first, last, low = compact_windows(part["body"].tolist(), span, gram)
-                yield pd.DataFrame({"symbol_id": part["symbol_id"].to_numpy()[text], "file_id": part["file_id"].to_numpy()[text], "copy": part["copy"].to_numpy()[text], "low": low, "first": first.astype(np.int32), "last": last.astype(np.int32)})
+                w = Windows(part["body"].tolist(), scheme)
+                text, first, last, low = w.under(0)
+                picked = [np.asarray(x, np.int64) + at for x, at in zip(part["firsts"], w.g.starts)]
+                keep = np.isin(first, np.concatenate(picked))
+                other = [w.under(f) for f in range(1, hashes)]
+                start = np.unique(np.concatenate([first, *[x[1] for x in other]]))
+                own = np.searchsorted(first, start, side="right") - 1
+                stop = np.minimum(np.append(start[1:] - 1, _FAR), last[own])
+                sign = low[own]
+                for _, f, _, v in other:
+                    sign = mixed(sign * _BASE + v[np.searchsorted(f, start, side="right") - 1])
+                keep = keep[own] & (start <= stop)
+                own, start, stop, sign = own[keep], start[keep], stop[keep], sign[keep]
+                t = text[own]
+                base = w.g.starts[t]
+                yield pd.DataFrame({"sign": sign.view(np.int64), "copy": part["copy"].to_numpy()[t], "least": part["least"].to_numpy()[t], "most": part["most"].to_numpy()[t], "first": (start - base).astype(np.int32), "last": (stop - base).astype(np.int32)})
 
     return run
 
 
-def _spans(span: int):
+def _regions(span: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for part in _blocks(b, "body"):
-                g = Grams(part["body"].tolist())
-                firsts, lasts, n = part["firsts"].tolist(), part["lasts"].tolist(), [len(x) for x in part["firsts"]]
-                first = np.concatenate(firsts).astype(np.int64)
-                many = np.concatenate(lasts).astype(np.int64) - first + 1
-                text = np.repeat(np.repeat(np.arange(len(part)), n), many)
-                start = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                h = g.at(start + g.starts[text], span).view(np.int64)
-                yield pd.DataFrame({"copy": part["copy"].to_numpy()[text], "least": part["least"].to_numpy()[text], "most": part["most"].to_numpy()[text], "start": start.astype(np.int32), "h": h})
+                rows = []
+                for copy, least, most, body, cells in zip(part["copy"], part["least"], part["most"], part["body"], part["cells"]):
+                    rows += [(copy, least, most, c["sign"], c["first"], body[c["first"] : c["last"] + span]) for c in cells]
+                yield pd.DataFrame(rows, columns=["copy", "least", "most", "sign", "first", "region"])
 
     return run
 
 
 def _rows(symbols: DataFrame) -> DataFrame:
     ok = F.col("symbol_id").isNotNull() & F.col("body").isNotNull()
-    return symbols.where(ok).select(F.col("symbol_id").cast("long"), F.col("file_id").cast("long"), "body", F.xxhash64("body", F.length("body")).alias("copy"), F.length("body").alias("n_chars"))
+    return symbols.where(ok).select(F.col("symbol_id").cast("long"), F.col("file_id").cast("long"), "body", F.unhex(F.md5("body")).alias("copy"), F.length("body").alias("n_chars"))
+
 
+def _several(df: DataFrame, key: str) -> DataFrame:
+    """The rows whose key several files have; told by the extremes, so that no group is gathered."""
+    keys = df.groupBy(key).agg(F.min("least").alias("a"), F.max("most").alias("b")).where("a < b").select(key)
+    return df.join(keys, key, "left_semi")
 
-def _covered(symbols: DataFrame, span: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """(records, starts): each record with its class of equal texts and whether the class is in several files; the starts
-    of the spans of a class that stand in another file."""
+
+def _shared(symbols: DataFrame, span: int, hashes: int) -> tuple[DataFrame, DataFrame]:
+    """(records, intervals): each record with its class of equal texts and whether the class is in several files; copy,
+    first, last: intervals of starts of the spans of a class that stand in another file."""
+    scheme = Scheme(span)
     rows = _rows(symbols)
     known = F.col("file_id").isNotNull()
-    copies = rows.where(known).groupBy("copy").agg(F.min("file_id").alias("least"), F.max("file_id").alias("most"))
-    records = rows.select("symbol_id", "copy", "n_chars").distinct().join(copies, "copy", "left")
+    copies = rows.where(known).groupBy("copy").agg(F.min("file_id").alias("least"), F.max("file_id").alias("most"), F.min("symbol_id").alias("sid"))
+    records = rows.select("symbol_id", "copy", "n_chars").distinct().join(copies.drop("sid"), "copy", "left")
     records = records.withColumn("whole", F.coalesce(F.col("least") < F.col("most"), F.lit(False)) & (F.col("n_chars") >= span))
     long = spread(rows.where(known & (F.col("n_chars") >= span)).select("symbol_id", "file_id", "body", "copy"))
-    w = long.mapInPandas(_windows(span, gram), "symbol_id long, file_id long, copy long, low long, first int, last int")
-    w = w.groupBy("copy", "first", "last", "low").agg(F.min("file_id").alias("least"), F.max("file_id").alias("most"), F.min("symbol_id").alias("symbol_id"))
-    w = written(w)
-    keys = w.groupBy("low").agg(F.min("least").alias("a"), F.max("most").alias("b"), F.min("copy").alias("c"), F.max("copy").alias("d")).where("a < b and c < d").select("low")
-    some = w.join(keys, "low", "left_semi").groupBy("copy", "symbol_id").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
-    bodies = long.select("symbol_id", "body", F.col("copy").alias("same"))
-    picked = bodies.join(some, (bodies["symbol_id"] == some["symbol_id"]) & (bodies["same"] == some["copy"])).drop("same")
-    spans = written(picked.select("body", "copy", "least", "most", "firsts", "lasts").mapInPandas(_spans(span), "copy long, least long, most long, start int, h long"))
-    hot = spans.groupBy("h").agg(F.min("least").alias("a"), F.max("most").alias("b")).where("a < b").select("h")
-    return records, spans.join(hot, "h", "left_semi").select("copy", "start").distinct()
-
-
-def _after(by: str) -> Column:
-    return F.lead("start").over(Window.partitionBy(by).orderBy("start"))
-
-
-def shared_spans(symbols: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    w = written(long.mapInPandas(_signed(scheme), "key long, sid long, file long, first int"))
+    w = _several(w.select("key", "sid", "first", F.col("file").alias("least"), F.col("file").alias("most")), "key")
+    some = w.groupBy("sid").agg(F.collect_set("first").alias("firsts")).join(copies, "sid").select(F.col("sid").alias("symbol_id"), "copy", "least", "most", "firsts")
+    bodies = long.select("symbol_id", "copy", "body")
+    cells = written(bodies.join(some, ["symbol_id", "copy"]).select("copy", "least", "most", "body", "firsts").mapInPandas(_celled(scheme, hashes), "sign long, copy binary, least long, most long, first int, last int").distinct())
+    cells = _several(cells, "sign").groupBy("copy", "least", "most").agg(F.collect_list(F.struct("sign", "first", "last")).alias("cells"))
+    cells = cells.join(copies.select("copy", F.col("sid").alias("symbol_id")), "copy")
+    found = bodies.dropDuplicates(["symbol_id", "copy"]).join(cells, ["symbol_id", "copy"]).select("copy", "least", "most", "body", "cells")
+    found = written(found.mapInPandas(_regions(span), "copy binary, least long, most long, sign long, first int, region string").withColumn("id", F.unhex(F.md5("region"))))
+    kinds = written(found.groupBy("sign", "id", "region").agg(F.min("least").alias("least"), F.max("most").alias("most")))
+    whole = found.select("copy", "first", "id", "sign", F.length("region").alias("n")).join(kinds.where("least < most").select("sign", "id"), ["sign", "id"], "left_semi")
+    whole = whole.select("copy", "first", (F.col("first") + F.col("n") - span).alias("last"))
+    # the others share spans at most with cells of the same signatures
+    mixed_ = kinds.groupBy("sign").agg(F.min("least").alias("a"), F.max("most").alias("b"), F.min("id").alias("c"), F.max("id").alias("d"), F.max(F.col("least") == F.col("most")).alias("open")).where("a < b AND c < d AND open").select("sign")
+    spans = kinds.join(mixed_, "sign", "left_semi").select("sign", "id", "least", "most", "region", F.explode(F.sequence(F.lit(0), F.length("region") - span)).alias("at"))
+    spans = written(spans.select("sign", "id", "least", "most", "at", F.unhex(F.md5(F.substr("region", F.col("at") + 1, F.lit(span)))).alias("digest")))
+    hot = _several(spans, "digest").where("least = most").select("sign", "id", "at").distinct()
+    part = found.select("copy", "first", "sign", "id").join(hot, ["sign", "id"]).select("copy", (F.col("first") + F.col("at")).alias("first"), (F.col("first") + F.col("at")).alias("last"))
+    return records, whole.unionByName(part)
+
+
+def shared_spans(symbols: DataFrame, span: int = SPAN, hashes: int = HASHES) -> DataFrame:
     """symbol_id, n_chars, shared_chars, share of every symbol: the characters that lie in a span of at least `span`
     characters which stands verbatim in a body with another file_id.
 
     Null bodies are left out, a null file_id shares with none; empty and short bodies share 0. Redelivered rows count
     once. A text that several files have whole is shared whole."""
-    records, starts = _covered(symbols, span, gram)
-    covered = starts.withColumn("next", _after("copy")).groupBy("copy").agg(F.sum(F.least(F.lit(span), F.coalesce(F.col("next") - F.col("start"), F.lit(span)))).alias("n"))
+    records, intervals = _shared(symbols, span, hashes)
+    order = Window.partitionBy("copy").orderBy("first", "last")
+    before = F.max(F.col("last") + span).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.col("last") + span - F.greatest(F.col("first"), F.coalesce(before, F.lit(0)))
+    covered = intervals.withColumn("fresh", F.greatest(fresh, F.lit(0))).groupBy("copy").agg(F.sum("fresh").alias("n"))
     out = records.join(covered, "copy", "left")
     shared = F.when(F.col("whole"), F.col("n_chars")).otherwise(F.coalesce("n", F.lit(0))).cast("long")
     return out.select("symbol_id", F.col("n_chars").cast("long"), shared.alias("shared_chars"), F.round(F.when(F.col("n_chars") > 0, shared / F.col("n_chars")).otherwise(0.0), 6).alias("share"))

@@ -34,10 +34,48 @@ def test_shared_characters(spark):
         rows.append((i, i // 2, body))
     rows += [(100, 50, rows[0][2]), (101, 51, "q" * 300), (102, 52, "q" * 260), (103, 53, "short"), (104, 54, "")]
     df = spark.createDataFrame(rows, "symbol_id long, file_id long, body string")
-    got = {r["symbol_id"]: r["shared_chars"] for r in shared.shared_spans(df, 40, 12).collect()}
+    got = {r["symbol_id"]: r["shared_chars"] for r in shared.shared_spans(df, 40).collect()}
     assert got == brute(rows, 40)
 
 
+def test_windows_cover_every_span_once_with_its_least_hash():
+    random.seed(8)
+    texts = ["".join(random.choice(["ab", " ", "x_1", "(", "\n    ", "é", " " * 40, "q" * 50, "=="]) for _ in range(90)) for _ in range(20)]
+    for span in (25, 40, 200):
+        scheme = shared.Scheme(span)
+        part = [t for t in texts if len(t) >= span]
+        w = shared.Windows(part, scheme)
+        text, start, end = shared.shingles(w.g, scheme)
+        for f in range(2):
+            t, first, last, low = w.under(f)
+            seen = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last)])
+            want = np.concatenate([np.arange(a, b - span + 1) for a, b in zip(w.g.starts, w.g.ends)])
+            assert seen.tolist() == want.tolist()
+            v = np.zeros(len(w.start), np.uint64)
+            seed = np.uint64((f + 1) * 0xA24BAED4963EE407 % (1 << 64))
+            v = shared.mixed(w.hash ^ seed) | np.uint64(1)
+            for a, b, x in zip(first, last, low):
+                for s in {int(a), int(b)}:
+                    inside = (start >= s + scheme.margin) & (end <= s + span - scheme.margin)
+                    assert inside.any() and v[inside].min() == x
+
+
+def test_equal_spans_have_equal_signatures():
+    """Whatever stands around a span, also where it cuts words and white space."""
+    random.seed(9)
+    make = lambda n: "".join(random.choice(["ab", " ", "x_1", "(", "\n    ", "é", " " * 30, "longer_name_of_a_thing", "q" * 50, "=="]) for _ in range(n))
+    scheme = shared.Scheme(200)
+    for _ in range(60):
+        core = make(120)[:200]
+        texts = [random.choice(["", "q", "  "]) + make(random.randint(0, 30)) + core + random.choice(["q", " ", "9"]) + make(random.randint(0, 30)) for _ in range(2)]
+        w = shared.Windows(texts, scheme)
+        for f in range(2):
+            _, first, last, low = w.under(f)
+            at = [int(b) + t.index(core) for b, t in zip(w.g.starts, texts)]
+            got = [int(low[np.searchsorted(first, x, side="right") - 1]) for x in at]
+            assert got[0] == got[1]
+
+
 def test_shared_edge_cases(spark):
     schema = "symbol_id long, file_id long, body string, copy string, start int"
     same = "abc " * 80
