@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from symloom.util import spread, table, written
 
 LEAST_LINE, LEAST_SHARED, CONTAINED, JUMPS = 12, 3, 0.6, 3
-MARKS = "file_id long, repo_id long, path string, generated boolean, stamped boolean, minified boolean, data boolean, notice boolean, folder boolean, class binary, lines array<long>"
+MARKS = "file_id long, repo_id long, path string, generated boolean, stamped boolean, minified boolean, data boolean, notice boolean, folder boolean, digest binary, lines array<long>"
 
 _HEAD = re.compile(r"^\s*(?://+|#+|/\*+!?|\*+|--+|;+|<!--|\"\"\"|'''|@)\s*(.*?)\s*(?:\*/|-->|\"\"\"|''')?\s*$")
 # What tools write about their output; a sentence about other files or one that says the file is kept by hand is none.
@@ -171,12 +171,12 @@ def composition(files: DataFrame) -> DataFrame:
 
 
 def classes(marks: DataFrame) -> DataFrame:
-    """class, n, low, high, foreign, lines of each set of significant lines: how many lines, the least and greatest
-    repository of the files that have it, and whether one of them shows a sign. Sets of fewer than LEAST_SHARED lines are
-    left out; a null repo_id is a repository of its own."""
+    """class, digest, n, low, high, foreign, lines of each set of significant lines: the least file that has it, how many
+    lines, the least and greatest repository of the files that have it, and whether one of them shows a sign. Sets of fewer
+    than LEAST_SHARED lines are left out; a null repo_id is a repository of its own."""
     repo = F.coalesce("repo_id", -F.col("file_id"))
-    rows = marks.select("class", "lines", F.size("lines").alias("n"), repo.alias("repo"), (F.col("notice") | F.col("folder")).alias("foreign")).where(F.col("n") >= LEAST_SHARED)
-    return rows.groupBy("class").agg(F.max("n").alias("n"), F.min("repo").alias("low"), F.max("repo").alias("high"), F.max("foreign").alias("foreign"), F.first("lines").alias("lines"))
+    rows = marks.select("file_id", "digest", "lines", F.size("lines").alias("n"), repo.alias("repo"), (F.col("notice") | F.col("folder")).alias("foreign")).where(F.col("n") >= LEAST_SHARED)
+    return rows.groupBy("digest").agg(F.min("file_id").alias("class"), F.max("n").alias("n"), F.min("repo").alias("low"), F.max("repo").alias("high"), F.max("foreign").alias("foreign"), F.first("lines").alias("lines"))
 
 
 def _needed(n: Column, contained: float) -> Column:
@@ -193,10 +193,11 @@ def _verified(pairs: DataFrame, known: DataFrame, contained: float) -> DataFrame
 
 def links(known: DataFrame, contained: float = CONTAINED) -> DataFrame:
     """a, b: verified pairs of classes of different repositories that connect the same classes as all such pairs do."""
-    line = known.select("class", "n", "low", "high", F.explode("lines").alias("h"))
+    line = known.select("class", "low", "high", F.explode("lines").alias("h"))
     first, last = F.struct("low", "class"), F.struct("high", "class")
     index = line.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("low").alias("least"), F.max("high").alias("most"), F.min(first)["class"].alias("first"), F.max(last)["class"].alias("last")).where("df > 1 AND least < most")
-    posted = written(line.join(index.select("h", "df", "first", "last"), "h"))
+    posted = line.select("class", "h").join(index.select("h", "df", "first", "last"), "h").join(known.select("class", "n", "low", "high"), "class")
+    posted = written(posted)
     # lines that no other repository has are the rarest; they share nothing
     by = Window.partitionBy("class")
     rare = posted.withColumn("place", F.row_number().over(by.orderBy("df", "h")) + F.col("n") - F.count(F.lit(1)).over(by))
@@ -250,7 +251,8 @@ def not_by_hand(files: DataFrame, contained: float = CONTAINED) -> DataFrame:
     # the files of a class are connected through another repository: one of the class's own, or one of a linked class
     joined = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(known.where("low < high").select("class")).distinct()
     vendored = connected(known.where("foreign").select("class").join(joined, "class", "left_semi"), pairs).withColumn("vendored", F.lit(True))
-    judged = marks.drop("lines").dropDuplicates(["file_id"]).join(vendored, "class", "left")
+    vendored = known.select("digest", "class").join(vendored, "class").select("digest", "vendored")
+    judged = marks.drop("lines").dropDuplicates(["file_id"]).join(vendored, "digest", "left")
     copied = F.coalesce("vendored", F.lit(False)) | F.col("notice") | F.col("folder")
     reason = F.when(F.col("generated") | F.col("stamped"), "generated").when(F.col("minified"), "minified").when(F.col("data"), "data").when(copied, "vendored")
     return judged.select("file_id", reason.alias("reason")).where("reason is not null")
