@@ -1,8 +1,8 @@
 """Problem 4: long exact spans shared between records.
 
 Tokens are words, runs of white space and single marks; runs beyond a limit are cut where their content says so, so that
-what is inside a span is cut alike wherever it stands. Each shingle of five tokens has a hash under each of HASHES hash
-functions; a span's signature under one of them is the least hash of the shingles that lie inside it. The Cartesian tree
+what is inside a span is cut alike wherever it stands. Each shingle of five words and the tokens between them has a hash
+under each of HASHES hash functions; a span's signature under one of them is the least hash of the shingles that lie inside it. The Cartesian tree
 over the hashes of a text gives its compact windows: a node is the least of all ranges between the nearest lesser hashes
 on both sides, so each node stands for an interval of span starts that share their signature, and a text has about two
 windows a span length instead of a signature per character.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,12 +36,17 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _FAR = 1 << 60
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
+@lru_cache(maxsize=4)
+def _table(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    return _table(base, max(2 * CHUNK, 1 << int(n).bit_length()))[:n]
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     h *= _MIX
@@ -51,8 +57,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Scheme:
-    """Limits that leave at least one shingle inside every span: with `space` and `word` the longest tokens, five tokens
-    take at most 3 space + 2 word characters, and at each end of a span 2 space may be lost."""
+    """Limits that leave at least one shingle inside every span: margin + space + word characters may be lost before the
+    first, which takes at most longest + space, and a margin behind it."""
 
     span: int = SPAN
 
@@ -67,6 +73,10 @@ class Scheme:
     def word(self) -> int:
         return self.span * 2 // 25
 
+    @property
+    def longest(self) -> int:
+        return self.span * 2 // 5
+
     @property
     def window(self) -> int:
         return max(1, self.span // 25)
@@ -120,12 +130,13 @@ def _chosen(g: Grams, scheme: Scheme) -> np.ndarray:
         have *= 2
     if have < w:
         low = np.minimum(low[: len(low) - (w - have)], low[w - have :])
-    least = top - (low & ((np.uint64(1) << bits) - np.uint64(1)))
-    return np.unique(least.astype(np.int64))
+    least = (top - (low & ((np.uint64(1) << bits) - np.uint64(1)))).astype(np.int64)
+    return least[np.concatenate([[True], least[1:] != least[:-1]])]  # it never goes back
 
 
 def shingles(g: Grams, scheme: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, end) of each run of SHINGLE tokens in the block."""
+    """(text, start, end) of the shingles of the block: from each token that is not plain white space to the end of the
+    fifth word, or of the token at which they get too long."""
     n = len(g.codes)
     kind = _CLASS[np.minimum(g.codes, 128)]
     new = np.ones(n, bool)
@@ -134,15 +145,24 @@ def shingles(g: Grams, scheme: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarr
     start = np.flatnonzero(new)
     size = np.diff(np.append(start, n))
     long = size > np.where(kind[start] == 2, scheme.space, scheme.word)
+    plain = (kind[start] == 2) & ~long
     if long.any():
         inside = np.repeat(long, size)
         cut = _chosen(g, scheme)
         new[cut[inside[cut]]] = True
+        begins = np.zeros(n, bool)
+        begins[start[plain]] = True
         start = np.flatnonzero(new)
+        plain = begins[start]
     end = np.append(start[1:], n)
-    text = np.searchsorted(g.ends, start, side="right")
-    whole = text[SHINGLE - 1 :] == text[: len(text) - SHINGLE + 1]
-    return text[: len(whole)][whole], start[: len(whole)][whole], end[SHINGLE - 1 :][whole]
+    text = np.repeat(np.arange(len(g.ends)), np.diff(np.searchsorted(start, np.append(g.starts, n))))
+    words = np.cumsum(kind[start] == 1)
+    k = np.flatnonzero(~plain)
+    stop = np.searchsorted(words, words[k] - (kind[start[k]] == 1) + SHINGLE)
+    stop = np.minimum(stop, np.searchsorted(end, start[k] + scheme.longest))
+    k, stop = k[stop < len(end)], stop[stop < len(end)]
+    whole = text[k] == text[stop]
+    return text[k[whole]], start[k[whole]], end[stop[whole]]
 
 
 def nearest_lesser(v: np.ndarray, nodes: np.ndarray, step: int) -> np.ndarray:
