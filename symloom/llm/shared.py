@@ -223,7 +223,7 @@ def _signed(scheme: Scheme):
                 text, first, last, low = w.under(0)
                 base = w.g.starts[text]
                 least, most = part["least"].to_numpy()[text], part["most"].to_numpy()[text]
-                out = pd.DataFrame({"key": low.view(np.int64), "sid": part["sid"].to_numpy()[text], "file": least, "first": (first - base).astype(np.int32)})
+                out = pd.DataFrame({"key": low.view(np.int64), "sid": part["sid"].to_numpy()[text], "file": least, "first": (first - base).astype(np.int32), "last": (last - base).astype(np.int32)})
                 yield out
                 if (several := least < most).any():
                     yield out[several].assign(file=most[several])
@@ -231,25 +231,45 @@ def _signed(scheme: Scheme):
     return run
 
 
+def _pieces(part: pd.DataFrame, span: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pieces, owner, offset, first, last): the parts of the texts that hold the spans of their intervals, and these
+    intervals of starts within the pieces laid end to end."""
+    texts, owner, offset, firsts, lasts, at = [], [], [], [], [], 0
+    for i, (body, spans) in enumerate(zip(part["body"], part["spans"])):
+        low = high = -1
+        todo = sorted((s["first"], s["last"]) for s in spans)
+        for k, (a, b) in enumerate(todo):
+            if a > high:
+                low = a
+            firsts.append(at + a - low)
+            lasts.append(at + b - low)
+            high = max(high, b + span)
+            if k + 1 == len(todo) or todo[k + 1][0] > high:
+                texts.append(body[low:high])
+                owner.append(i)
+                offset.append(low)
+                at += len(texts[-1])
+    return texts, np.array(owner), np.array(offset), np.array(firsts, np.int64), np.array(lasts, np.int64)
+
+
 def _celled(scheme: Scheme, hashes: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for part in _blocks(b, "body"):
-                w = Windows(part["body"].tolist(), scheme)
-                text, first, last, low = w.under(0)
-                picked = [np.asarray(x, np.int64) + at for x, at in zip(part["firsts"], w.g.starts)]
-                keep = np.isin(first, np.concatenate(picked))
-                other = [w.under(f) for f in range(1, hashes)]
-                start = np.unique(np.concatenate([first, *[x[1] for x in other]]))
-                own = np.searchsorted(first, start, side="right") - 1
-                stop = np.minimum(np.append(start[1:] - 1, _FAR), last[own])
-                sign = low[own]
-                for _, f, _, v in other:
+                texts, owner, offset, firsts, lasts = _pieces(part, scheme.span)
+                w = Windows(texts, scheme)
+                under = [w.under(f) for f in range(hashes)]
+                start = np.unique(np.concatenate([x[1] for x in under]))
+                own = np.searchsorted(under[0][1], start, side="right") - 1
+                stop = np.minimum(np.append(start[1:] - 1, _FAR), under[0][2][own])
+                sign = under[0][3][own]
+                for _, f, _, v in under[1:]:
                     sign = mixed(sign * _BASE + v[np.searchsorted(f, start, side="right") - 1])
-                keep = keep[own] & (start <= stop)
-                own, start, stop, sign = own[keep], start[keep], stop[keep], sign[keep]
-                t = text[own]
-                base = w.g.starts[t]
+                # a piece also holds spans between its intervals
+                k = np.searchsorted(firsts, start, side="right") - 1
+                keep = (k >= 0) & (start <= lasts[k]) & (start <= stop)
+                piece, start, stop, sign = under[0][0][own[keep]], start[keep], stop[keep], sign[keep]
+                t, base = owner[piece], w.g.starts[piece] - offset[piece]
                 yield pd.DataFrame({"sign": sign.view(np.int64), "copy": part["copy"].to_numpy()[t], "least": part["least"].to_numpy()[t], "most": part["most"].to_numpy()[t], "first": (start - base).astype(np.int32), "last": (stop - base).astype(np.int32)})
 
     return run
@@ -288,14 +308,14 @@ def _shared(symbols: DataFrame, span: int, hashes: int) -> tuple[DataFrame, Data
     records = rows.select("symbol_id", "copy", "n_chars").distinct().join(copies.drop("sid"), "copy", "left")
     records = records.withColumn("whole", F.coalesce(F.col("least") < F.col("most"), F.lit(False)) & (F.col("n_chars") >= span))
     long = spread(rows.where(known & (F.col("n_chars") >= span)).select("symbol_id", "file_id", "body", "copy"))
-    w = written(long.mapInPandas(_signed(scheme), "key long, sid long, file long, first int"))
-    w = _several(w.select("key", "sid", "first", F.col("file").alias("least"), F.col("file").alias("most")), "key")
-    some = w.groupBy("sid").agg(F.collect_set("first").alias("firsts")).join(copies, "sid").select(F.col("sid").alias("symbol_id"), "copy", "least", "most", "firsts")
+    w = written(long.mapInPandas(_signed(scheme), "key long, sid long, file long, first int, last int"))
+    w = _several(w.select("key", "sid", "first", "last", F.col("file").alias("least"), F.col("file").alias("most")), "key")
+    some = w.groupBy("sid").agg(F.collect_set(F.struct("first", "last")).alias("spans")).join(copies, "sid").select(F.col("sid").alias("symbol_id"), "copy", "least", "most", "spans")
     bodies = long.select("symbol_id", "copy", "body")
-    cells = written(bodies.join(some, ["symbol_id", "copy"]).select("copy", "least", "most", "body", "firsts").mapInPandas(_celled(scheme, hashes), "sign long, copy binary, least long, most long, first int, last int").distinct())
-    cells = _several(cells, "sign").groupBy("copy", "least", "most").agg(F.collect_list(F.struct("sign", "first", "last")).alias("cells"))
+    cells = written(bodies.join(some.hint("shuffle_hash"), ["symbol_id", "copy"]).select("copy", "least", "most", "body", "spans").mapInPandas(_celled(scheme, hashes), "sign long, copy binary, least long, most long, first int, last int"))
+    cells = _several(cells, "sign").groupBy("copy", "least", "most").agg(F.collect_set(F.struct("sign", "first", "last")).alias("cells"))
     cells = cells.join(copies.select("copy", F.col("sid").alias("symbol_id")), "copy")
-    found = bodies.dropDuplicates(["symbol_id", "copy"]).join(cells, ["symbol_id", "copy"]).select("copy", "least", "most", "body", "cells")
+    found = bodies.join(cells.hint("shuffle_hash"), ["symbol_id", "copy"]).select("copy", "least", "most", "body", "cells")
     found = written(found.mapInPandas(_regions(span), "copy binary, least long, most long, sign long, first int, region string").withColumn("id", F.unhex(F.md5("region"))))
     kinds = written(found.groupBy("sign", "id", "region").agg(F.min("least").alias("least"), F.max("most").alias("most")))
     whole = found.select("copy", "first", "id", "sign", F.length("region").alias("n")).join(kinds.where("least < most").select("sign", "id"), ["sign", "id"], "left_semi")
