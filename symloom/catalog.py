@@ -434,9 +434,12 @@ def _(spark, folder):
     return _symbols(spark, folder).select("sid", C.compact_signature("signature").alias("signature"))
 
 
-@query("import_headers", Q.with_(["f"], f"SELECT file_id, i AS line, {Q.trim('l[i]')} AS text FROM (SELECT file_id, {Q.lines('content')} AS l, unnest(range(1, least(len({Q.lines('content')}), 400) + 1)) AS i FROM f) WHERE regexp_matches({Q.trim('l[i]')}, '^(pub )?use .*;$|^extern crate .*;$|^import\\b[ {{(].*(;|''|\")$|^import [^{{(]*[^,\\\\{{(]$|^from .* import ([^(\\\\]*|.*\\(.*\\))$|^(const|let) .*= require\\(')"))
+_IMPORT = search.IMPORT.replace("'", "''")
+
+
+@query("import_headers", Q.with_(["f"], f"SELECT file_id, generate_subscripts(m, 1) AS place, trim(regexp_replace(unnest(m), '\\s+', ' ', 'g')) AS text FROM (SELECT file_id, regexp_extract_all(array_to_string({Q.lines('content')}[1:400], chr(10)), '{_IMPORT}') AS m FROM f)"))
 def _(spark, folder):
-    return search.import_header(_files(spark, folder, "content")).select("file_id", F.col("line").cast("long").alias("line"), "text")
+    return search.import_header(_files(spark, folder, "content")).select("file_id", F.col("place").cast("long").alias("place"), "text")
 
 
 # -- ledgers
@@ -538,15 +541,46 @@ def _(spark, folder):
 # -- extraction and hashes
 @query("extract_symbols")
 def _(spark, folder):
-    return extract.declarations(_files(spark, folder, "path", "content")).withColumn("calls", F.array_join("calls", " "))
+    found = extract.declarations(_files(spark, folder, "path", "content"))
+    one = lambda c: F.array_join(F.sort_array(c), " ").alias(c)
+    repeated = F.array_join(F.sort_array(F.map_keys(F.map_filter("call_counts", lambda k, v: v > 1))), " ")
+    return found.select("file_id", "kind", "name", "start_line", "end_line", "signature", one("calls"), one("member_calls"), one("mentions"), repeated.alias("repeated"))
 
 
 @query("extract_agreement")
 def _(spark, folder):
-    """By kind: how many symbols of the table extraction finds at the same line under the same name."""
-    mine = extract.declarations(_files(spark, folder, "path", "content")).select("file_id", "name", F.lit(True).alias("hit")).distinct()
-    s = _symbols(spark, folder).select("kind", "file_id", C.leaf("name").alias("name"))
-    return s.join(mine, ["file_id", "name"], "left").groupBy("kind").agg(F.count(F.lit(1)).alias("symbols"), F.count("hit").alias("found"))
+    """By kind: how many symbols of the table extraction finds under their full name at the same first and last line, and
+    how many of their calls and member calls it finds there."""
+    mine = extract.declarations(_files(spark, folder, "path", "content")).select("file_id", "name", "start_line", F.col("end_line").alias("stop"), F.col("calls").alias("c"), F.col("member_calls").alias("m"))
+    s = _symbols(spark, folder).select("sid", "kind", "file_id", "name", "start_line", "end_line", "calls", "member_calls")
+    both = s.join(mine, ["file_id", "name", "start_line"], "left")
+    hit = F.col("stop").isNotNull() & F.coalesce(F.col("end_line") == F.col("stop"), F.lit(True))
+    common = lambda a, b: F.when(hit, F.size(F.array_intersect(a, b))).otherwise(0)
+    best = both.groupBy("sid", "kind").agg(F.max(hit.cast("int")).alias("hit"), F.max(F.size("calls")).alias("calls"), F.max(common("calls", "c")).alias("c"), F.max(F.size("member_calls")).alias("members"), F.max(common("member_calls", "m")).alias("m"))
+    return best.groupBy("kind").agg(F.count(F.lit(1)).alias("symbols"), F.sum("hit").alias("found"), F.sum("calls").alias("calls"), F.sum("c").alias("calls_found"), F.sum("members").alias("member_calls"), F.sum("m").alias("member_calls_found"))
+
+
+@query("extract_imports")
+def _(spark, folder):
+    return extract.imports(_files(spark, folder, "path", "content")).withColumn("hint", extract.module_hint("spec"))
+
+
+@query("import_agreement")
+def _(spark, folder):
+    """By language: the packages that the symbols table has of a file, and how many of them its import statements name."""
+    got = extract.imports(_files(spark, folder, "path", "content"))
+    words = F.split(F.concat_ws("/", "spec", "name", "alias"), "[/:.]+")
+    got = got.groupBy("file_id", "lang").agg(F.array_distinct(F.flatten(F.collect_list(words))).alias("words"))
+    have = _symbols(spark, folder).select("file_id", F.explode("external_imports").alias("package")).distinct()
+    both = have.join(got, "file_id", "left")
+    return both.groupBy("lang").agg(F.count(F.lit(1)).alias("packages"), F.count_if(F.array_contains("words", F.col("package"))).alias("found"))
+
+
+@query("extracted_graph")
+def _(spark, folder):
+    """The outcomes of all references of the graph that is built from the files alone."""
+    s = written(extract.symbols_of(_files(spark, folder, "repo_id", "path", "content")))
+    return graph.resolve(s).groupBy("repo_id", "outcome").agg(F.count(F.lit(1)).alias("refs"), F.count("dst").alias("edges"))
 
 
 @query("fnv_hash")

@@ -96,12 +96,24 @@ def line_slice(files: DataFrame, ranges: DataFrame) -> DataFrame:
     return rows.select("file_id", *more, F.col("a").alias("first"), last.alias("last"), text.alias("text"))
 
 
+# A whole import statement of any of the languages, over as many lines as its brackets need.
+IMPORT = (
+    r"(?m)^[ \t]*(?:pub(?:\([a-z]+\))? )?use [^;]*;|^[ \t]*extern crate [^;\n]*;|^[ \t]*import \([^)]*\)"
+    r"|^[ \t]*import\b[^'\"\n;({]*(?:\{[^}]*\})?[^'\"\n;]*['\"][^'\"\n]*['\"];?|^[ \t]*import [A-Za-z_][A-Za-z0-9_., ]*$"
+    r"|^[ \t]*from [.A-Za-z0-9_]+ import (?:\([^)]*\)|(?:[^\n\\(]|\\\n)+)|^[ \t]*(?:const|let|var) [^=\n]*= require\([^)\n]*\);?"
+)
+
+
+def import_statements(files: DataFrame, most: int = 400) -> DataFrame:
+    """file_id, place, text of the import statements that begin and end in the first `most` lines of a file, whole."""
+    head = F.array_join(F.slice(C.lines("content"), 1, most), "\n")
+    found = files.select("file_id", F.posexplode(F.regexp_extract_all(head, F.lit(IMPORT), F.lit(0))).alias("place", "text"))
+    return found.select("file_id", (F.col("place") + 1).alias("place"), F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))
+
+
 def import_header(files: DataFrame, most: int = 400) -> DataFrame:
-    """file_id, line, text of the one-line imports in the first `most` lines of a file."""
-    head = files.select("file_id", F.posexplode(F.slice(C.lines("content"), 1, most)).alias("line", "text"))
-    t = F.trim("text")
-    whole = t.rlike(r"^(pub )?use .*;$|^extern crate .*;$|^import\b[ {(].*(;|'|\")$|^import [^{(]*[^,\\{(]$|^from .* import ([^(\\]*|.*\(.*\))$|^(const|let) .*= require\(")
-    return head.where(whole).select("file_id", (F.col("line") + 1).alias("line"), t.alias("text"))
+    """The import statements, each on one line."""
+    return import_statements(files, most).withColumn("text", F.regexp_replace("text", r"\s+", " "))
 
 
 def budget_cut(texts: DataFrame, key: str, text: str, budget: int) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from symloom.functions import columns as C
-from symloom.operators import ledger, search
+from symloom.operators import graph, ledger, search
 from symloom.sources import extract, store
 from symloom.streaming import sync
 
@@ -157,18 +157,52 @@ def test_fnv(spark):
 
 
 def test_extraction(spark):
-    py = "import os\n\nLIMIT = 3\n\nclass A(Base):\n    def run(self):\n        return helper(self.x)\n\n\ndef helper(v):\n    if v:\n        print(v)\n"
-    rs = "pub struct S {\n    x: u8,\n}\n\nimpl S {\n    pub fn go(&self) -> u8 {\n        other(1);\n        self.x\n    }\n}\n"
-    go = "package m\n\nfunc (s *S) Do(a int) error {\n\treturn call(a)\n}\n\nconst K = 1\n"
-    ts = "export class C {\n  go(a: number) {\n    if (a) { run(a); }\n  }\n}\n\nexport const f = async (x) => {\n  await g(x);\n};\n"
-    f = spark.createDataFrame([(1, "a.py", py), (2, "b.rs", rs), (3, "c.go", go), (4, "d.ts", ts), (5, "e.md", "x"), (6, "n.py", None)], FILES)
-    got = {(r["file_id"], r["kind"], r["name"]): (r["start_line"], r["end_line"], r["calls"]) for r in extract.declarations(f).collect()}
-    assert got[1, "class", "A"] == (5, 7, ["helper"]) and got[1, "method", "run"] == (6, 7, ["helper"])
-    assert got[1, "function", "helper"] == (10, 12, ["print"]) and got[1, "constant", "LIMIT"][:2] == (3, 3)
-    assert got[2, "struct", "S"][:2] == (1, 3) and got[2, "method", "go"] == (6, 9, ["other"])
-    assert got[3, "method", "Do"] == (3, 5, ["call"]) and got[3, "constant", "K"][:2] == (7, 7)
-    assert got[4, "method", "go"] == (2, 4, ["run"]) and got[4, "function", "f"] == (7, 9, ["g"])
-    assert {k[0] for k in got} == {1, 2, 3, 4}
+    py = "import os\n\nLIMIT = 3\n\nclass A(Base):\n    @cached\n    def run(self):\n        return helper(self.x)\n\n\ndef helper(\n    v,\n):\n    \"\"\"def no():\"\"\"\n    if v:\n        print(v)\n        again(v); again(v, w)\n"
+    rs = "#[derive(Debug)]\npub struct S {\n    x: u8,\n}\n\nimpl<T> Tr for S {\n    /// Goes.\n    pub fn go(&self) -> u8 {\n        other(1);\n        S::new(2).go_on::<u8>();\n        println!(\"{}\", inner(3));\n        self.x\n    }\n}\n"
+    go = "package m\n\ntype (\n\tA struct {\n\t\tx int\n\t}\n\tB = string\n)\n\nfunc (s *S) Do(a int) error {\n\treturn call(a, b.c)\n}\n\nconst K = 1\n"
+    ts = "export class C {\n  private n = 1;\n  constructor(private q: Q) {}\n  go(a: number) {\n    if (a) { run(a); }\n    return new Thing(a).start();\n  }\n}\n\nexport const f = async (x) => {\n  await g(x);\n};\nconst api = build({\n  list() { return 1; },\n});\nconst { p, q: r } = api\nconst T = `\na {\n`;\n"
+    f = spark.createDataFrame([(1, "a.py", py), (2, "b.rs", rs), (3, "c.go", go), (4, "d.ts", ts), (5, "e.md", "x"), (6, "n.py", None), (7, "z.ts", ""), (8, "broken.rs", "fn a() {\n    b(;\n")], FILES)
+    rows = extract.declarations(f).collect()
+    got = {(r["file_id"], r["kind"], r["name"]): (r["start_line"], r["end_line"], sorted(r["calls"])) for r in rows}
+    assert got[1, "class", "A"] == (5, 8, ["helper"]) and got[1, "method", "A::run"] == (6, 8, ["helper"])
+    assert got[1, "function", "helper"] == (11, 17, ["again"]) and got[1, "constant", "LIMIT"][:2] == (3, 3)
+    assert got[2, "struct", "S"][:2] == (1, 4) and got[2, "method", "S::go"] == (7, 13, ["S", "S::new", "go_on", "inner", "new", "other"])
+    assert got[3, "struct", "A"][:2] == (4, 6) and got[3, "type", "B"][:2] == (7, 7)
+    assert got[3, "method", "S::Do"] == (10, 12, ["call"]) and got[3, "constant", "K"][:2] == (14, 14)
+    assert got[4, "method", "C::go"] == (4, 7, ["Thing", "Thing::constructor", "run", "start"]) and got[4, "function", "f"] == (10, 12, ["g"])
+    assert got[4, "field", "C::n"][:2] == (2, 2) and got[4, "field", "C::q"][:2] == (3, 3) and got[4, "method", "C::constructor"]
+    assert got[4, "variable", "api"][:2] == (13, 15) and got[4, "method", "api.list"] and got[4, "variable", "p"] and got[4, "variable", "r"]
+    assert got[4, "constant", "T"][:2] == (17, 19) and got[8, "function", "a"] == (1, 2, ["b"])
+    assert {k[0] for k in got} == {1, 2, 3, 4, 8}
+    by = {(r["file_id"], r["name"]): r for r in rows}
+    assert by[1, "helper"]["call_counts"] == {"again": 2} and by[4, "C::go"]["member_calls"] == ["start"]
+    assert {"b", "c"} & set(by[3, "S::Do"]["mentions"]) and "x" in by[2, "S::go"]["mentions"] and by[1, "helper"]["signature"] == "def helper( v, ):"
+
+
+def test_imports(spark):
+    py = "import os, a.b as ab\nfrom .near import (\n    one,\n    two as second,\n)\n"
+    ts = "import D, { x as y, z } from './local/mod';\nimport * as ns from 'pkg';\nimport type {\n  T,\n} from '../types';\nconst { r: s } = require('lib');\nimport 'side';\n"
+    rs = "use crate::deep::{\n    a::One,\n    Two as Other,\n};\nuse serde::*;\npub use std::fmt;\n"
+    go = "package m\n\nimport (\n\t\"fmt\"\n\tq \"host.example/x/quick\"\n)\n"
+    f = spark.createDataFrame([(1, "a.py", py), (2, "d.ts", ts), (3, "b.rs", rs), (4, "c.go", go), (5, "n.go", None)], FILES)
+    got = {(r["file_id"], r["name"], r["alias"], r["external"]) for r in extract.imports(f).collect()}
+    assert got == {
+        (1, "os", None, True), (1, "a.b", "ab", False), (1, "one", None, False), (1, "two", "second", False),
+        (2, "D", None, False), (2, "x", "y", False), (2, "z", None, False), (2, "ns", None, True), (2, "T", None, False), (2, "r", "s", True),
+        (3, "One", None, False), (3, "Two", "Other", False), (3, "fmt", None, True), (4, "fmt", None, True), (4, "quick", "q", False),
+    }
+
+
+def test_graph_from_a_folder(spark, tmp_path):
+    """Files are scanned, extracted and resolved; an aliased call reaches its original by the module hint."""
+    for name, text in {"src/app.ts": "import { load as fetchIt } from './store';\nimport { join } from 'path';\nexport function run() {\n  fetchIt(1);\n  join(2);\n}\n", "src/store.ts": "export function load(x) {\n  return x;\n}\n", "src/other.ts": "export function load(x) {\n  return x;\n}\n", "node_modules/q.ts": "export function run() {}\n"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    files = store.scan(spark, str(tmp_path)).select(F.xxhash64("path").alias("file_id"), F.lit(1).cast("long").alias("repo_id"), "path", "content")
+    s = extract.symbols_of(files).cache()
+    names = {r["sid"]: (r["file"], r["name"]) for r in s.collect()}
+    got = {r["ref"]: (r["outcome"], names.get(r["dst"])) for r in graph.resolve(s).collect()}
+    assert got == {"store:load": ("hinted", ("src/store.ts", "load")), "join": ("external", None)}
 
 
 def test_stream_keeps_the_store_in_step(spark, tmp_path):
