@@ -71,6 +71,17 @@ def unmatched(wanted: list[str], syms: DataFrame, files: DataFrame) -> DataFrame
     return rows.select(pairs.alias("x")).where(~F.col("x.seen")).select("x.term")
 
 
+def find(syms: DataFrame, files: DataFrame, wanted: list[str]) -> DataFrame:
+    """what (symbol, file, line), id, line, sid: symbols and files whose name or path holds a term, and of the terms that
+    neither holds the lines that do, with the innermost symbol around them. files: file_id, path, content."""
+    no = F.lit(None).cast("int").alias("line")
+    a = find_symbols(syms, wanted).select(F.lit("symbol").alias("what"), F.col("sid").alias("id"), no, "sid")
+    b = find_files(files, wanted).select(F.lit("file").alias("what"), F.col("file_id").alias("id"), no, F.lit(None).cast("long").alias("sid"))
+    rest = literal_hits(files, wanted).join(unmatched(wanted, syms, files), "term", "left_semi").select("file_id", "line").distinct()
+    c = enclosing(rest, syms).select(F.lit("line").alias("what"), F.col("file_id").alias("id"), "line", "sid")
+    return a.unionByName(b).unionByName(c)
+
+
 def missing(files: DataFrame, pattern: str, defines: str | None = None) -> DataFrame:
     """Files that hold none of the alternatives of pattern (split at `|`, case kept), of those that hold one of defines."""
     holds = lambda p: _any([F.col("content").contains(x) for x in p.split("|") if x])

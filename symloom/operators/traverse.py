@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symloom.functions import columns as C
-from symloom.util import written
+from symloom.util import discard, written
 
 
 def reach(e: DataFrame, seeds: DataFrame, depth: int, up: bool = True) -> DataFrame:
     """source, sid, depth: what is reached from the seeds (source, sid) in at most `depth` calls, with the least number;
-    the seeds have depth 0. A frontier that is empty ends the walk early. Each hop is one join and one anti join on
-    (source, sid), so a symbol that many reach is spread by its sources."""
+    the seeds have depth 0. A frontier that is empty ends the walk early. Each hop is one join on the symbol, whose hot
+    ones Spark's skew join splits, and one anti join on (source, sid). The result has a row per pair it reaches; where only
+    the distance from a set is wanted, diff.cone() has a row per symbol."""
     a, b = ("dst", "src") if up else ("src", "dst")
     step = e.select(F.col(a).alias("sid"), F.col(b).alias("next")).distinct()
     frontier = seeds.select("source", "sid").distinct().withColumn("depth", F.lit(0))
@@ -40,8 +41,8 @@ def pagerank(nodes: DataFrame, e: DataFrame, rounds: int = 100, tolerance: float
 
     Without focus the prior and, after the last round, the ranks of test symbols count a quarter; with focus (sid) the
     prior is uniform over the focus and tests are not demoted. What dangles flows back by the prior. Ends when the ranks
-    of no repository change by `tolerance` together. Each round is one join, one aggregation and a written table; the
-    totals it needs have a row per repository and are broadcast only where Spark finds them small enough."""
+    of no repository change by `tolerance` together. A round writes a table of ranks only, and those of older rounds are
+    deleted; the totals it needs have a row per repository and are broadcast only where Spark finds them small enough."""
     if focus is None:
         weight = nodes.withColumn("m", F.when(F.col("is_test"), 0.25).otherwise(1.0))
     else:
@@ -51,18 +52,23 @@ def pagerank(nodes: DataFrame, e: DataFrame, rounds: int = 100, tolerance: float
     out = t.select(F.col("src").alias("sid")).distinct().withColumn("flows", F.lit(True))
     base = weight.join(mass, "repo_id").join(out, "sid", "left").select("repo_id", "sid", "is_test", (F.col("m") / F.col("mass")).alias("prior"), F.coalesce("flows", F.lit(False)).alias("flows"), (F.lit(1.0) / F.col("size")).alias("rank"))
     base, t = written(base), written(t.select("src", "dst", "p"))
-    now = base
+    still = base.drop("rank")
+    now = base.select("sid", "rank")
+    spent: list[DataFrame] = []
     for _ in range(rounds):
-        loose = now.where(~F.col("flows")).groupBy("repo_id").agg(F.sum("rank").alias("loose"))
+        have = still.join(now.withColumnRenamed("rank", "old"), "sid")
+        loose = have.where(~F.col("flows")).groupBy("repo_id").agg(F.sum("old").alias("loose"))
         inflow = now.select(F.col("sid").alias("src"), "rank").join(t, "src").groupBy(F.col("dst").alias("sid")).agg(F.sum(F.col("rank") * F.col("p")).alias("inflow"))
         rank = F.lit(1 - damping) * F.col("prior") + F.lit(damping) * (F.coalesce("inflow", F.lit(0.0)) + F.coalesce("loose", F.lit(0.0)) * F.col("prior"))
-        nxt = now.withColumnRenamed("rank", "old").join(inflow, "sid", "left").join(loose, "repo_id", "left")
-        nxt = written(nxt.select("repo_id", "sid", "is_test", "prior", "flows", rank.alias("rank"), "old"))
-        now = nxt.drop("old")
-        if tolerance > 0:
-            moved = nxt.groupBy("repo_id").agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("moved")).agg(F.max("moved")).first()[0]
-            if moved is None or moved < tolerance:
-                break
+        nxt = written(have.join(inflow, "sid", "left").join(loose, "repo_id", "left").select("repo_id", "sid", rank.alias("rank"), F.abs(rank - F.col("old")).alias("moved")))
+        moved = nxt.groupBy("repo_id").agg(F.sum("moved").alias("moved")).agg(F.max("moved")).first()[0]
+        now = nxt.select("sid", "rank")
+        spent.append(nxt)
+        if len(spent) > 2:
+            discard(spent.pop(0))  # no later round reads the one before the last
+        if moved is None or moved < tolerance:
+            break
+    now = still.join(now, "sid")
     if focus is None:
         now = now.withColumn("rank", F.col("rank") * F.when(F.col("is_test"), 0.25).otherwise(1.0))
         total = now.groupBy("repo_id").agg(F.sum("rank").alias("total"))
@@ -74,15 +80,19 @@ def call_sites(symbols_with_body: DataFrame, pairs: DataFrame) -> DataFrame:
     """source, sid, line: the lines of each caller's body that call a name of its source. pairs: source, sid, names.
 
     The head line of a longer body and comment lines are skipped; the name must begin at a word boundary and be followed
-    by a call, a macro mark or type arguments."""
-    rows = symbols_with_body.select("sid", "start_line", C.lines("body").alias("lines")).join(pairs, "sid")
-    at = rows.select("source", "sid", "start_line", "names", F.size("lines").alias("n"), F.posexplode("lines").alias("i", "text"))
+    by a call, a macro mark or type arguments. The words that are called on each line are taken out once and meet the pairs
+    by (sid, word); only names that are no plain words are looked for line by line."""
+    wanted = pairs.select("source", "sid", F.explode("names").alias("name")).where("name <> ''")
+    plain = F.col("name").rlike(r"^[A-Za-z0-9_]+$")
+    rows = symbols_with_body.join(wanted.select("sid").distinct(), "sid", "left_semi").select("sid", "start_line", C.lines("body").alias("lines"))
+    at = rows.select("sid", "start_line", F.size("lines").alias("n"), F.posexplode("lines").alias("i", "text"))
     text = F.trim(F.col("text"))
-    skipped = text.startswith("//") | text.startswith("#") | text.startswith("*")
-    at = at.where(((F.col("i") > 0) | (F.col("n") == 1)) & ~skipped)
-    pattern = F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), F.col("name"), F.lit(r"\E\s*[(!<]|(?<![A-Za-z0-9_])\Q"), F.col("name"), F.lit(r"\E\s*::<"))
-    hit = at.select("source", "sid", (F.col("start_line") + F.col("i")).alias("line"), "text", F.explode("names").alias("name")).where("name <> ''")
-    return hit.where(F.col("text").contains(F.col("name")) & F.regexp_like("text", pattern)).select("source", "sid", "line").distinct()
+    skipped = text.startswith("//") | text.startswith("#") | text.startswith("*") | text.startswith("/*")
+    at = at.where(((F.col("i") > 0) | (F.col("n") == 1)) & ~skipped).select("sid", (F.col("start_line") + F.col("i")).alias("line"), "text")
+    words = at.select("sid", "line", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(text, '([A-Za-z0-9_]+)\\s*(?:[(!<]|::<)', 1)"))).alias("name"))
+    pattern = F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), F.col("name"), F.lit(r"\E\s*(?:[(!<]|::<)"))
+    odd = at.join(wanted.where(~plain), "sid").where(F.col("text").contains(F.col("name")) & F.regexp_like("text", pattern)).select("source", "sid", "line")
+    return words.join(wanted.where(plain), ["sid", "name"]).select("source", "sid", "line").unionByName(odd).distinct()
 
 
 def word_hits(symbols_with_body: DataFrame, words: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from symloom.functions import columns as C
 
 # 64-bit FNV-1a.
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
+FEW = 16
 
 
 def scan(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
@@ -18,7 +19,7 @@ def scan(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
     files that are not UTF-8 are left out. Without content the files are not opened."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/") + "/"
-    path = F.regexp_replace(F.expr(f"substr(path, instr(path, '{base}') + {len(base)})"), r"^/+", "")
+    path = F.regexp_replace(F.substr(F.col("path"), F.instr(F.col("path"), base) + len(base)), r"^/+", "")
     df = df.withColumn("rel", path).where(C.extension("rel").isin(*C.SOURCE_EXTENSIONS) & ~C.ignored_folder("rel") & ~F.exists(F.split("rel", "/"), lambda x: x.startswith(".")))
     stat = df.select(F.col("rel").alias("path"), (F.unix_micros("modificationTime") * 1000).alias("mtime"), F.col("length").alias("bytes"), *(["content"] if content else []))
     if not content:
@@ -58,7 +59,14 @@ def fnv1a(files: DataFrame, key: str, text: str) -> DataFrame:
             live = len(raw)
             for i in range(int(size.max(initial=0))):
                 live = int(np.searchsorted(-size[:live], -i, side="left"))
+                if live < FEW:  # a few long texts go faster one by one
+                    break
                 h[:live] = (h[:live] ^ data[start[:live] + i]) * prime
+            for k in range(live if live < FEW else 0):
+                one = int(h[k])
+                for byte in raw[order[k]][i:]:
+                    one = ((one ^ byte) * FNV_PRIME) & 0xFFFFFFFFFFFFFFFF
+                h[k] = one
             out = np.empty(len(raw), object)
             out[order] = [f"{x:016x}" for x in h.tolist()]
             yield pd.DataFrame({key: b[key], "fnv": [x if t is not None else None for x, t in zip(out, b[text])]})

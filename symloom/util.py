@@ -35,9 +35,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), below a temporary folder of this machine."""
+    """A new folder below spark.checkpoint.dir. Where that is unset a local master takes a temporary folder of this machine;
+    on a cluster, whose executors would each write to their own disk, it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), "symloom-checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/symloom-{uuid.uuid4().hex}"
@@ -51,19 +54,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut through checkpoint() in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
-def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """One row per key, that with the least value of order; equal rows count once. Aggregates before it shuffles."""
-    rest = [c for c in df.columns if c != key]
-    kept = df.groupBy(key).agg(F.min(F.struct(F.col(order).alias("_o"), *[F.col(c) for c in rest])).alias("_r"))
-    return kept.select(*[F.col(key) if c == key else F.col(f"_r.{c}").alias(c) for c in df.columns])
+def discard(df: DataFrame) -> None:
+    """Delete the table that written() made of df; only when nothing that is still to run reads it."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if folder.rpartition("/")[2].startswith("symloom-"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mix(*columns: Column) -> Column:
