@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symloom.functions import columns as C
-from symloom.operators import diff, graph, health, ledger, search, slices, traverse
+from symloom.operators import coordinates, diff, graph, health, ledger, search, slices, traverse
 from symloom.plans import sql as Q
 from symloom.sources import extract, store
 from symloom.util import table, written
@@ -146,6 +146,19 @@ def _(spark, folder):
     return r.select("repo_id", "sid", F.round("rank", 6).alias("rank"))
 
 
+MAIN = "name = 'main' OR ends_with(name, '::main') OR ends_with(name, '.main')"
+
+
+@query("pagerank_seeds", Q.pagerank(f"(CASE WHEN contains(lower(name), 'cache') OR contains(lower(file), 'cache') OR {MAIN} THEN 1.0 ELSE 0.0 END)", "w", False))
+def _(spark, folder):
+    """The focus is what a coordinate names together with what a seed term finds, each symbol once."""
+    s = _symbols(spark, folder)
+    seeds = s.where(F.lower("name").contains("cache") | F.lower("file").contains("cache")).select("sid")
+    focus = s.where(C.named("name", "main")).select("sid").union(seeds).distinct()
+    r = traverse.pagerank(_nodes(s), _edges(spark, folder), focus=focus)
+    return r.select("repo_id", "sid", F.round("rank", 6).alias("rank"))
+
+
 # -- traversals from the busiest symbol of each repository, constructors included
 def _seeds(s: DataFrame, e: DataFrame) -> DataFrame:
     t = s.join(graph.busiest(e).select("sid"), "sid")
@@ -182,6 +195,24 @@ def _(spark, folder):
     return cone.join(d, "sid").groupBy("source").agg(F.count(F.lit(1)).alias("affected"), F.count_if("entry").alias("entry_points"), F.countDistinct(F.when(F.col("test"), F.col("file"))).alias("test_suites"))
 
 
+IS_ENTRY = f"({Q.is_program('name')} OR (NOT {Q.is_test('file', 'name')} AND fan_in = 0 AND {Q.is_exported('file', 'name', 'signature')}))"
+
+
+@query("blast_lists", Q.with_(["s", "top", "deg"], f"SELECT source, coalesce(string_agg(file || ':' || name, ' ' ORDER BY depth, sid) FILTER ({IS_ENTRY}), '') AS entry_points, coalesce((SELECT string_agg(file, ' ' ORDER BY depth, file) FROM (SELECT min(r2.depth) AS depth, d2.file FROM reached r2 JOIN deg d2 ON d2.sid = r2.sid WHERE r2.source = x.source AND r2.depth > 0 AND {Q.is_test('d2.file', 'd2.name')} GROUP BY d2.file)), '') AS test_suites FROM (SELECT * FROM reached JOIN deg USING (sid) WHERE depth > 0) x GROUP BY source", *Q.reach(SEEDS, True)))
+def _(spark, folder):
+    """The entry points and test files of each blast, each once, in the order in which the walk meets them."""
+    s, e = _symbols(spark, folder), _edges(spark, folder)
+    cone = traverse.reach(e, _seeds(s, e), 3).where("depth > 0")
+    d = health.degrees(s, e)
+    d = d.select("sid", "file", C.coordinate().alias("coordinate"), C.is_test().alias("test"), (C.is_program_entry() | (~C.is_test() & (F.col("fan_in") == 0) & C.is_exported())).alias("entry"))
+    rows = cone.join(d, "sid")
+    listed = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("depth", F.col(c).alias("o"), "text"))), lambda x: x["text"]), " ")
+    suites = rows.where("test").groupBy("source", F.col("file").alias("text")).agg(F.min("depth").alias("depth")).groupBy("source").agg(listed("text").alias("test_suites"))
+    entries = rows.where("entry").withColumn("text", F.col("coordinate")).groupBy("source").agg(listed("sid").alias("entry_points"))
+    out = rows.select("source").distinct().join(entries, "source", "left").join(suites, "source", "left")
+    return out.select("source", F.coalesce("entry_points", F.lit("")).alias("entry_points"), F.coalesce("test_suites", F.lit("")).alias("test_suites"))
+
+
 @query("call_sites", Q.with_(["s", "e"], f"""SELECT DISTINCT source, sid, line FROM (SELECT t.sid AS source, c.sid, c.start_line + i - 1 AS line, {Q.trim('l[i]')} AS text, regexp_extract(t.name, '([^:.]*)$', 1) AS word, i, len(l) AS n
 FROM (SELECT e.dst, c.sid, c.start_line, {Q.lines('c.body')} AS l, unnest(range(1, len({Q.lines('c.body')}) + 1)) AS i FROM e JOIN s c ON c.sid = e.src) c JOIN s t ON t.sid = c.dst)
 WHERE (i > 1 OR n = 1) AND NOT starts_with(text, '//') AND NOT starts_with(text, '#') AND NOT starts_with(text, '*') AND NOT starts_with(text, '/*') AND word <> '' AND regexp_matches(text, '(^|[^A-Za-z0-9_])' || word || '\\s*([(!<]|::<)')"""))
@@ -237,6 +268,12 @@ def _(spark, folder):
     return health.dead_weight(_degrees(spark, folder)[0]).select("sid", "tier")
 
 
+@query("dead_ranked", Q.with_(["deg"], f"SELECT repo_id, sid, tier, row_number() OVER w AS place FROM (SELECT *, CASE WHEN kind IN ('function', 'method') THEN 'likely' ELSE 'review' END AS tier FROM deg WHERE {DEAD}) WINDOW w AS (PARTITION BY repo_id, tier ORDER BY centrality ASC NULLS FIRST, sid) QUALIFY tier = 'review' OR row_number() OVER w <= 50"))
+def _(spark, folder):
+    rows = health.ranked_dead_weight(_degrees(spark, folder)[0])
+    return rows.select("repo_id", "sid", "tier", F.col("place").cast("long").alias("place"))
+
+
 @query("hubs_top5", Q.with_(["deg"], "SELECT repo_id, sid, fan_in, row_number() OVER w AS place FROM deg WHERE fan_in > 0 WINDOW w AS (PARTITION BY repo_id ORDER BY fan_in DESC, centrality DESC NULLS LAST, sid) QUALIFY row_number() OVER w <= 5"))
 def _(spark, folder):
     return health.hubs(_degrees(spark, folder)[0]).select("repo_id", "sid", F.col("fan_in").cast("long").alias("fan_in"), F.col("place").cast("long").alias("place"))
@@ -286,13 +323,62 @@ def _(spark, folder):
     return diff.affected(_edges(spark, folder), written(diff.mutated(s, diff.hunks(spark, folder))))
 
 
-@query("cdc_status", "WITH o AS (SELECT file_id, hash FROM files WHERE ingested_at < TIMESTAMP '2025-10-01' QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY ingested_at) = 1), n AS (SELECT file_id, CASE WHEN file_id % 7 = 0 THEN hash || '*' ELSE hash END AS hash FROM files WHERE file_id % 11 <> 0 QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY ingested_at) = 1) SELECT file_id, CASE WHEN o.file_id IS NULL THEN 'new' WHEN n.file_id IS NULL THEN 'deleted' WHEN o.hash IS NOT DISTINCT FROM n.hash THEN 'same' ELSE 'changed' END AS status FROM (SELECT * FROM o) o FULL JOIN n USING (file_id)")
+HOPS = [
+    "t AS MATERIALIZED (SELECT DISTINCT sid FROM touched)",
+    "p AS MATERIALIZED (SELECT source, sid, depth FROM reached WHERE depth > 0)",
+    "c AS MATERIALIZED (SELECT sid, min(depth) AS depth FROM p GROUP BY sid)",
+]
+
+
+@query("diff_depths", Q.with_(["hk", "s", "e"], "SELECT repo_id, c.sid, c.depth, row_number() OVER (PARTITION BY repo_id ORDER BY depth, file || ':' || name, c.sid) AS place FROM c JOIN s ON s.sid = c.sid WHERE c.sid NOT IN (SELECT sid FROM t)", TOUCHED, *Q.reach("SELECT sid AS source, sid FROM touched", True), *HOPS))
 def _(spark, folder):
-    """What arrived by a day against a later state in which some files are edited and some removed."""
-    f = table(spark, folder, "files").select("file_id", "hash", "ingested_at")
-    old = f.where("ingested_at < TIMESTAMP_NTZ '2025-10-01'").dropDuplicates(["file_id"]).select("file_id", "hash")
-    new = f.where("file_id % 11 <> 0").dropDuplicates(["file_id"]).select("file_id", F.when(F.col("file_id") % 7 == 0, F.concat("hash", F.lit("*"))).otherwise(F.col("hash")).alias("hash"))
-    return store.changes(old, new, "file_id")
+    """What a change reaches, by distance and coordinate; one walk from all touched symbols."""
+    s = _symbols(spark, folder)
+    touched = written(diff.mutated(s, diff.hunks(spark, folder)))
+    rows = diff.cone(_edges(spark, folder), touched).join(touched.select("sid"), "sid", "left_anti").join(s.select("sid", "repo_id", C.coordinate().alias("coordinate")), "sid")
+    order = Window.partitionBy("repo_id").orderBy("depth", "coordinate", "sid")
+    return rows.select("repo_id", "sid", "depth", F.row_number().over(order).cast("long").alias("place"))
+
+
+REPORT = f"""
+SELECT 'affected' AS what, c.sid, c.depth, coalesce(l.lines, '') AS lines, s.file FROM c JOIN s ON s.sid = c.sid LEFT JOIN (SELECT sid, string_agg(line::VARCHAR, ' ' ORDER BY line) AS lines FROM (
+  SELECT DISTINCT sid, line FROM (SELECT c.sid, c.start_line + i - 1 AS line, {Q.trim('l[i]')} AS text, regexp_extract(t.name, '([^:.]*)$', 1) AS word, i, len(l) AS n
+  FROM (SELECT e.dst, c.sid, c.start_line, {Q.lines('c.body')} AS l, unnest(range(1, len({Q.lines('c.body')}) + 1)) AS i FROM e JOIN s c ON c.sid = e.src WHERE e.dst IN (SELECT sid FROM t)) c JOIN s t ON t.sid = c.dst)
+  WHERE (i > 1 OR n = 1) AND NOT starts_with(text, '//') AND NOT starts_with(text, '#') AND NOT starts_with(text, '*') AND NOT starts_with(text, '/*') AND word <> '' AND regexp_matches(text, '(^|[^A-Za-z0-9_])' || word || '\\s*([(!<]|::<)')) GROUP BY sid) l ON l.sid = c.sid WHERE c.sid NOT IN (SELECT sid FROM t)
+UNION ALL SELECT 'entry', o.sid, c.depth, NULL, d.file FROM (SELECT DISTINCT sid FROM p WHERE source <> sid) o JOIN c ON c.sid = o.sid JOIN deg d ON d.sid = o.sid WHERE {IS_ENTRY}
+UNION ALL SELECT 'suite', NULL, min(c.depth), NULL, d.file FROM (SELECT DISTINCT sid FROM p WHERE source <> sid) o JOIN c ON c.sid = o.sid JOIN deg d ON d.sid = o.sid WHERE {Q.is_test('d.file', 'd.name')} GROUP BY d.file
+UNION ALL SELECT 'mention', sid, NULL, string_agg(line::VARCHAR, ' ' ORDER BY line), file FROM (SELECT DISTINCT c.sid, c.file, c.start_line + i - 1 AS line FROM (
+  SELECT repo_id, sid, file, start_line, {Q.lines('body')} AS l, unnest(range(1, len({Q.lines('body')}) + 1)) AS i FROM s WHERE {Q.is_test('file', 'name')} AND sid NOT IN (SELECT sid FROM c)) c
+  JOIN (SELECT s.repo_id, s.sid, regexp_extract(s.name, '([^:.]*)$', 1) AS word FROM s JOIN t ON t.sid = s.sid) w ON w.repo_id = c.repo_id AND w.sid <> c.sid AND strlen(w.word) >= 3 AND list_contains(regexp_extract_all(l[i], '[A-Za-z0-9_]+'), w.word)) GROUP BY sid, file"""
+
+
+@query("diff_report", Q.with_(["hk", "s", "e", "deg"], REPORT, TOUCHED, *Q.reach("SELECT sid AS source, sid FROM touched", True), *HOPS))
+def _(spark, folder):
+    """Affected symbols with the lines that call into the change, and the entry points, suites and test lines it reaches."""
+    s, e = _symbols(spark, folder, "body"), _edges(spark, folder)
+    touched = written(diff.mutated(s, diff.hunks(spark, folder)))
+    return diff.report(health.degrees(s, e), e, touched)
+
+
+@query("diff_text_ranges", Q.with_(["hk"], "SELECT DISTINCT file, first, last FROM hk"))
+def _(spark, folder):
+    """The hunks as the diff texts that hold them, read again."""
+    h = table(spark, folder, "hunks").where("header IS NOT NULL AND path IS NOT NULL")
+    text = F.concat(F.lit("+++ b/"), F.col("path"), F.lit("\t\n"), F.col("header"), F.lit("\n+ line\n"))
+    texts = h.select("hunk_id", F.when(F.trim("path") == "/dev/null", F.concat(F.lit("+++ /dev/null\n"), "header")).otherwise(text).alias("text"))
+    return diff.ranges_of_diffs(texts, "hunk_id", "text").select("file", "first", "last").distinct()
+
+
+OLD, NEW = "ingested_at < TIMESTAMP{} '2025-12-01'", "ingested_at >= TIMESTAMP{} '2025-03-01'"
+ONE = "SELECT file_id, min(hash) AS hash FROM files WHERE {} GROUP BY file_id"
+
+
+@query("cdc_status", f"SELECT file_id, CASE WHEN o.file_id IS NULL THEN 'new' WHEN n.file_id IS NULL THEN 'deleted' WHEN o.hash IS NOT DISTINCT FROM n.hash THEN 'same' ELSE 'changed' END AS status FROM ({ONE.format(OLD.format(''))}) o FULL JOIN ({ONE.format(NEW.format(''))}) n USING (file_id)")
+def _(spark, folder):
+    """What had arrived before one day against what arrived from an earlier one on: the snapshots overlap."""
+    f = table(spark, folder, "files")
+    state = lambda when: f.where(when.format("_NTZ")).groupBy("file_id").agg(F.min("hash").alias("hash"))
+    return store.changes(state(OLD), state(NEW), "file_id")
 
 
 # -- search
@@ -318,11 +404,21 @@ def _(spark, folder):
     return search.literal_hits(_files(spark, folder, "content"), search.terms(FIND)).select("file_id", F.col("line").cast("long").alias("line"), "term")
 
 
-@query("find_union", Q.with_(["s", "f"], f"SELECT 'symbol' AS what, sid AS id FROM s WHERE {CONTAINS.format(c='name')} UNION ALL SELECT 'file', file_id FROM f WHERE {CONTAINS.format(c='path')}"))
+@query("find_union", Q.with_(["s", "f"], f"""SELECT 'symbol' AS what, sid AS id, NULL::BIGINT AS line, sid FROM s WHERE {CONTAINS.format(c='name')} UNION ALL SELECT 'file', file_id, NULL, NULL FROM f WHERE {CONTAINS.format(c='path')}
+UNION ALL SELECT 'line', h.file_id, h.line, arg_min(s.sid, (coalesce(s.end_line, s.start_line) - s.start_line, s.sid)) FILTER (s.start_line <= h.line AND coalesce(s.end_line, s.start_line) >= h.line) FROM (SELECT DISTINCT file_id, line FROM hits WHERE NOT EXISTS (SELECT 1 FROM s WHERE contains(lower(name), term)) AND NOT EXISTS (SELECT 1 FROM f WHERE contains(lower(path), term))) h LEFT JOIN s ON s.file_id = h.file_id GROUP BY h.file_id, h.line""", HITS))
 def _(spark, folder):
-    w = search.terms(FIND)
-    a = search.find_symbols(_symbols(spark, folder), w).select(F.lit("symbol").alias("what"), F.col("sid").alias("id"))
-    return a.unionByName(search.find_files(_files(spark, folder, "path"), w).select(F.lit("file").alias("what"), F.col("file_id").alias("id")))
+    return search.find(_symbols(spark, folder), _files(spark, folder, "path", "content"), search.terms(FIND)).withColumn("line", F.col("line").cast("long"))
+
+
+LOST = ["errors.new", "zzz", "unwrap_or_else"]
+LOST_HITS = HITS.replace(str(list(TERMS)), str(LOST))
+
+
+@query("find_lost", Q.with_(["s", "f"], f"""SELECT h.file_id AS id, h.line, arg_min(s.sid, (coalesce(s.end_line, s.start_line) - s.start_line, s.sid)) FILTER (s.start_line <= h.line AND coalesce(s.end_line, s.start_line) >= h.line) AS sid FROM (SELECT DISTINCT file_id, line FROM hits WHERE NOT EXISTS (SELECT 1 FROM s WHERE contains(lower(name), term)) AND NOT EXISTS (SELECT 1 FROM f WHERE contains(lower(path), term))) h LEFT JOIN s ON s.file_id = h.file_id GROUP BY h.file_id, h.line""", LOST_HITS))
+def _(spark, folder):
+    """The literal lines of terms that no name and no path holds."""
+    rows = search.find(_symbols(spark, folder), _files(spark, folder, "path", "content"), search.terms("|".join(LOST)))
+    return rows.where("what = 'line'").select("id", F.col("line").cast("long").alias("line"), "sid")
 
 
 @query("unmatched_terms", Q.with_(["s", "f"], "SELECT term FROM (SELECT unnest(['bridge', 'router<a,b>', 'zzz']) AS term) t WHERE NOT EXISTS (SELECT 1 FROM s WHERE contains(lower(name), term)) AND NOT EXISTS (SELECT 1 FROM f WHERE contains(lower(path), term))"))
@@ -372,6 +468,24 @@ def _(spark, folder):
     return slices.coordinate_index(_symbols(spark, folder))
 
 
+ENDING = "array_to_string(string_split({f}, '/')[-least(len(string_split({f}, '/')), len(string_split(p, '/'))):], '/') = array_to_string(string_split(p, '/')[-least(len(string_split({f}, '/')), len(string_split(p, '/'))):], '/')"
+ASKED = f"""asked AS MATERIALIZED (SELECT DISTINCT CASE sid % 4 WHEN 0 THEN file WHEN 1 THEN array_to_string(string_split(file, '/')[-2:], '/') WHEN 2 THEN 'checkout/' || file ELSE 'elsewhere/' || {Q.base('file')} END AS p, {Q.leaf('name')} AS name FROM s WHERE name IS NOT NULL UNION ALL SELECT DISTINCT NULL, name FROM s WHERE name IS NOT NULL),
+found AS MATERIALIZED (SELECT p, name, sid, centrality, min(tier) OVER (PARTITION BY p, name) AS best, tier FROM (SELECT a.p, a.name, s.sid, s.centrality, CASE WHEN a.p IS NULL THEN 3 WHEN s.file = a.p THEN 0 WHEN {ENDING.format(f='s.file')} THEN 1 WHEN {Q.base('s.file')} = {Q.base('a.p')} THEN 2 END AS tier
+  FROM asked a JOIN (SELECT *, unnest(list_distinct([name, {Q.leaf('name')}, CASE WHEN contains(string_split(name, '.')[-1], '::') THEN name ELSE string_split(name, '.')[-1] END])) AS key FROM s) s ON s.key = a.name) WHERE tier IS NOT NULL)"""
+
+
+@query("resolve_coordinates", Q.with_(["s"], "SELECT coalesce(p || ':', '') || name AS target, ['exact', 'suffix', 'basename', 'name'][tier + 1] AS tier, CASE WHEN count(*) OVER w = 1 THEN 'unique' ELSE 'ambiguous' END AS status, count(*) OVER w AS hits, row_number() OVER (w ORDER BY centrality DESC NULLS LAST, sid) AS place, sid FROM found WHERE tier = best WINDOW w AS (PARTITION BY p, name)", ASKED))
+def _(spark, folder):
+    """Coordinates of all symbols, spelled in full, shortened, under another root, in another folder, and as bare names."""
+    s = _symbols(spark, folder).where("name IS NOT NULL")
+    short = F.array_join(F.slice(F.concat(F.array(F.lit("")), F.split("file", "/")), -2, 2), "/")
+    way = F.col("sid") % 4
+    path = F.when(way == 0, F.col("file")).when(way == 1, short).when(way == 2, F.concat(F.lit("checkout/"), "file")).otherwise(F.concat(F.lit("elsewhere/"), C.base_name("file")))
+    targets = s.select(F.concat_ws(":", path, C.leaf("name")).alias("target")).unionByName(s.select(F.col("name").alias("target")))
+    out = coordinates.resolve(targets, s)
+    return out.select("target", "tier", "status", F.col("hits").cast("long").alias("hits"), F.col("place").cast("long").alias("place"), "sid")
+
+
 @query("suggestions", Q.with_(["s", "res"], """SELECT file, wanted, sid, near, row_number() OVER w AS place FROM (SELECT m.file, m.wanted, s.sid, s.start_line, contains(lower(s.name), lower(m.wanted)) OR contains(lower(m.wanted), lower(s.name)) AS near
 FROM (SELECT DISTINCT a.file, ref AS wanted FROM res JOIN s a ON a.sid = res.src WHERE outcome = 'unresolved') m JOIN s ON s.file = m.file) WINDOW w AS (PARTITION BY file, wanted ORDER BY near DESC, start_line, sid) QUALIFY row_number() OVER w <= 10"""))
 def _(spark, folder):
@@ -456,15 +570,15 @@ def _(spark, folder):
 
 
 DEBT = """SELECT doc_id, line, CASE WHEN lft > 0 THEN trim(substr(c, 1, lft - 1), ' ') END AS what, CASE WHEN rgt > 0 THEN trim(substr(rest, 1, rgt - 1), ' ') END AS why, CASE WHEN rgt > 0 THEN trim(substr(rest, rgt + 2), ' ') END AS trigger, lft, rgt FROM (
-SELECT *, CASE WHEN lft > 0 THEN substr(c, lft + 2) END AS rest, coalesce(instr(substr(c, lft + 2), '->'), 0) AS rgt FROM (SELECT doc_id, line, substr(ltrim(text, ' '), 3) AS c, instr(substr(ltrim(text, ' '), 3), '<-') AS lft FROM filled WHERE (starts_with(ltrim(text, ' '), '- ') OR starts_with(ltrim(text, ' '), '* ')) AND contains(text, '<-')))"""
+SELECT *, CASE WHEN lft > 0 THEN substr(c, lft + 2) END AS rest, coalesce(instr(substr(c, lft + 2), '->'), 0) AS rgt FROM (SELECT doc_id, line, substr(ltrim(text, ' '), 3) AS c, instr(substr(ltrim(text, ' '), 3), '<-') AS lft FROM filled WHERE (starts_with(ltrim(text, ' '), '- ') OR starts_with(ltrim(text, ' '), '* '))))"""
 
 
 @query("debt_items", f"WITH {LEDGER} SELECT doc_id, line, what, why, trigger, CASE WHEN lft = 0 THEN 'missing <-' WHEN rgt = 0 THEN 'missing ->' WHEN what = '' THEN 'empty what' WHEN why = '' THEN 'empty why' WHEN trigger = '' THEN 'empty trigger' END AS reason FROM ({DEBT})")
 def _(spark, folder):
-    """The bulleted debt lines of all ledgers, wherever they stand, with the rule that a line breaks."""
-    rows = search.text_lines(table(spark, folder, "documents").where(F.col("text").contains("<-")), "doc_id", "text")
+    """The bulleted lines of all documents read as debt lines, with the rule that a line breaks."""
+    rows = search.text_lines(table(spark, folder, "documents"), "doc_id", "text")
     t = F.ltrim("text")
-    rows = rows.where((t.startswith("- ") | t.startswith("* ")) & F.col("text").contains("<-"))
+    rows = rows.where(t.startswith("- ") | t.startswith("* "))
     return rows.select("doc_id", F.col("line").cast("long").alias("line"), *ledger.debt_fields("text"))
 
 
@@ -477,7 +591,49 @@ def _(spark, folder):
     return rows.select("doc_id", F.col("line").cast("long").alias("line"), F.when(reason.isin(*few), reason).otherwise("other").alias("reason"))
 
 
-@query("comment_markers", None)
+@query("lint_totals", f"WITH {LEDGER} SELECT doc_id, count(*) AS lines, count(*) FILTER (reason <> 'other') AS refused, count(DISTINCT section) AS sections FROM (SELECT doc_id, section, CASE WHEN contains(text, '~~') THEN 'strikethrough' WHEN contains(text, '[x]') OR contains(text, '[X]') THEN 'completed checkbox' WHEN contains(text, '[ ]') THEN 'checkbox' WHEN NOT (starts_with(ltrim(text, ' '), '- ') OR starts_with(ltrim(text, ' '), '* ')) THEN 'missing bullet' WHEN NOT contains(substr(ltrim(text, ' '), 3), '<-') THEN 'missing <-' ELSE 'other' END AS reason FROM filled WHERE NOT is_head AND section <> '' AND {Q.trim('text')} <> '' AND NOT starts_with({Q.trim('text')}, '#')) GROUP BY doc_id")
+def _(spark, folder):
+    """Of each ledger the lines that lint judges, those it refuses before it looks for `->`, and the sections."""
+    rows = ledger.sections(table(spark, folder, "documents")).where((F.col("section") != "") & (F.trim("text") != "") & ~F.trim("text").startswith("#"))
+    few = ("strikethrough", "completed checkbox", "checkbox", "missing bullet", "missing <-")
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(ledger.lint_reason("text").isin(*few)).alias("refused"), F.countDistinct("section").alias("sections"))
+
+
+@query("ledger_resolved", f"WITH {LEDGER} SELECT doc_id, count(*) FILTER (NOT coalesce(gone, false)) AS lines, count(*) FILTER (gone) AS resolved FROM (SELECT doc_id, NOT is_head AND section = 'debt' AND regexp_matches(ltrim(text, ' '), '^[-*] ') AND contains(lower(text), 'the') AS gone FROM filled) GROUP BY doc_id")
+def _(spark, folder):
+    """Lines left of each ledger when the debts that hold a word are resolved."""
+    d = table(spark, folder, "documents")
+    left = ledger.resolved(d, "the").select("doc_id", F.col("text").alias("left"))
+    n = F.size(C.lines("text"))
+    m = F.when(F.col("left") == "", 0).otherwise(F.size(F.split("left", "\n", -1)))
+    return d.where(n > 0).join(left, "doc_id").select("doc_id", m.cast("long").alias("lines"), (n - m).cast("long").alias("resolved"))
+
+
+QUOTED, QUOTED_MORE = r'"[^"\\]*(?:\\.[^"\\]*)*"|`[^`\\]*(?:\\.[^`\\]*)*`', r"|''[^''\\]*(?:\\.[^''\\]*)*''"
+MARKERS = f"""marked AS MATERIALIZED (SELECT file_id, repo_id, line, substr(t, 1) AS c FROM (SELECT file_id, repo_id, line, trim(regexp_replace(regexp_extract(plain, '(?i)(?:#|//|/\\*|--) todo:(.*)$', 1), '\\*/.*$', ''), ' ') AS t, regexp_matches(plain, '(?i)(?:#|//|/\\*|--) todo:(.*)$') AS hit FROM (
+SELECT file_id, repo_id, i AS line, regexp_replace(l[i], CASE WHEN ext = 'rs' THEN '{QUOTED}' ELSE '{QUOTED}{QUOTED_MORE}' END, '', 'g') AS plain FROM (SELECT file_id, repo_id, {Q.ext('path')} AS ext, {Q.lines('content')} AS l, unnest(range(1, len({Q.lines('content')}) + 1)) AS i FROM f WHERE contains(lower(content), 'todo:')))) WHERE hit),
+item AS MATERIALIZED (SELECT file_id, repo_id, line, CASE WHEN lft > 0 THEN trim(substr(c, 1, lft - 1), ' ') END AS what, CASE WHEN rgt > 0 THEN trim(substr(rest, 1, rgt - 1), ' ') END AS why, CASE WHEN rgt > 0 THEN trim(substr(rest, rgt + 2), ' ') END AS trigger, lft, rgt FROM (SELECT *, CASE WHEN lft > 0 THEN substr(c, lft + 2) END AS rest, coalesce(instr(substr(c, lft + 2), '->'), 0) AS rgt FROM (SELECT *, instr(c, '<-') AS lft FROM marked))),
+marker AS MATERIALIZED (SELECT *, CASE WHEN lft = 0 THEN 'missing <-' WHEN rgt = 0 THEN 'missing ->' WHEN what = '' THEN 'empty what' WHEN why = '' THEN 'empty why' WHEN trigger = '' THEN 'empty trigger' END AS reason FROM item)"""
+
+
+@query("marker_totals", Q.with_(["f"], "SELECT repo_id, count(DISTINCT file_id) AS files, count(*) AS markers, count(*) FILTER (reason IS NULL) AS valid FROM marker GROUP BY repo_id", MARKERS))
+def _(spark, folder):
+    f = _files(spark, folder, "repo_id", "path", "content")
+    rows = ledger.markers(f, "todo").join(f.select("file_id", "repo_id"), "file_id")
+    return rows.groupBy("repo_id").agg(F.countDistinct("file_id").alias("files"), F.count(F.lit(1)).alias("markers"), F.count_if(F.col("reason").isNull()).alias("valid"))
+
+
+@query("dump", f"WITH {LEDGER}, " + Q.with_(["s"], """SELECT repo_id, 'ledger' AS part, place, text FROM kept UNION ALL SELECT repo_id, 'map', place, text FROM (SELECT *, sum(strlen(text) + 1) OVER (PARTITION BY repo_id ORDER BY place) AS sum FROM (SELECT s.repo_id, row_number() OVER (PARTITION BY s.repo_id ORDER BY coalesce(centrality, 0) DESC, sid) AS place, file || ': ' || kind || ' ' || name AS text, 5850 - coalesce(spent, 0) AS rest FROM s LEFT JOIN (SELECT repo_id, max(sum) AS spent FROM kept GROUP BY repo_id) k ON k.repo_id = s.repo_id) WHERE place <= greatest(3, least(40, floor(rest / 100)))) WHERE sum <= rest""",
+"kept AS MATERIALIZED (SELECT * FROM (SELECT *, sum(strlen(text) + 1) OVER (PARTITION BY repo_id ORDER BY place) AS sum FROM (SELECT d.repo_id, row_number() OVER (PARTITION BY d.repo_id ORDER BY d.doc_id, line) AS place, filled.text FROM filled JOIN documents d ON d.doc_id = filled.doc_id WHERE d.doc_type = 'ledger' AND NOT is_head)) WHERE sum <= 5850)").removeprefix("WITH "))
+def _(spark, folder):
+    """The ledgers of each repository and its map, packed into the bytes of 1,500 tokens."""
+    d = table(spark, folder, "documents").where("doc_type = 'ledger'")
+    lines = ledger.sections(d).join(d.select("doc_id", "repo_id"), "doc_id").select("repo_id", "doc_id", "line", "text")
+    out = health.dump(lines, _symbols(spark, folder))
+    return out.select("repo_id", "part", F.col("place").cast("long").alias("place"), "text")
+
+
+@query("comment_markers", Q.with_(["f"], "SELECT file_id, line, what, why, trigger, reason FROM marker", MARKERS))
 def _(spark, folder):
     return ledger.markers(table(spark, folder, "files").select("file_id", "path", "content").dropDuplicates(["file_id"]), "todo")
 
