@@ -82,5 +82,7 @@ def resolve(targets: DataFrame, syms: DataFrame) -> DataFrame:
     hits = hits.withColumn("place", F.row_number().over(order)).join(hits.groupBy("target").agg(F.count(F.lit(1)).alias("hits")), "target")
     out = wanted.select("target").join(hits, "target", "left")
     status = F.when(F.col("hits").isNull(), "not_found").when(F.col("hits") == 1, "unique").otherwise("ambiguous")
-    label = F.element_at(F.array(*map(F.lit, TIERS)), F.col("tier") + 1)
+    label = F.lit(None).cast("string")
+    for i, name in enumerate(TIERS):
+        label = F.when(F.col("tier") == i, name).otherwise(label)
     return out.select("target", label.alias("tier"), status.alias("status"), F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("place", F.lit(1)).alias("place"), "sid")

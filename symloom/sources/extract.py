@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from symloom.functions import columns as C
 from symloom.operators.search import import_statements
-from symloom.util import spread
+from symloom.sources.store import changes
+from symloom.util import spread, written
 
 LANGUAGE = {"py": "py", "rs": "rs", "go": "go", **dict.fromkeys(("ts", "tsx", "js", "jsx", "mjs", "cjs"), "ts")}
 DECLARED = "file_id long, path string, lang string, kind string, name string, start_line int, end_line int, signature string, code string"
@@ -313,3 +314,12 @@ def symbols_of(files: DataFrame) -> DataFrame:
     sid = F.xxhash64("file_id", "start_line", "kind", "name")
     none = F.array().cast("array<string>")
     return rows.select(sid.alias("sid"), "file_id", "repo_id", F.col("path").alias("file"), "name", "kind", "start_line", "end_line", "signature", F.lit(0.0).alias("centrality"), kept.alias("calls"), "member_calls", "mentions", F.coalesce("external_imports", none).alias("external_imports"), counts.alias("call_counts"), C.is_test(F.col("path"), F.col("name")).alias("is_test"))
+
+
+def refreshed(old_files: DataFrame, files: DataFrame, old_symbols: DataFrame) -> DataFrame:
+    """The symbols of files where those of files with the same path and hash as before are kept and only the others are
+    extracted again; symbols of files that are gone are left out. Files: file_id, repo_id, path, hash, content."""
+    status = written(changes(old_files.select("path", "hash"), files.select("path", "hash")))
+    kept = old_symbols.join(status.where("status = 'same'").select(F.col("path").alias("file")), "file", "left_semi")
+    stale = files.join(status.where("status IN ('new', 'changed')").select("path"), "path", "left_semi")
+    return kept.unionByName(symbols_of(stale))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.functions import columns as C
+from symloom.util import written
 
 # 64-bit FNV-1a.
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -57,12 +57,15 @@ def fnv1a(files: DataFrame, key: str, text: str) -> DataFrame:
             start = np.cumsum(size) - size
             h = np.full(len(raw), mask, np.uint64)
             live = len(raw)
+            i = 0
             for i in range(int(size.max(initial=0))):
                 live = int(np.searchsorted(-size[:live], -i, side="left"))
                 if live < FEW:  # a few long texts go faster one by one
                     break
                 h[:live] = (h[:live] ^ data[start[:live] + i]) * prime
-            for k in range(live if live < FEW else 0):
+            else:
+                live = 0
+            for k in range(live):
                 one = int(h[k])
                 for byte in raw[order[k]][i:]:
                     one = ((one ^ byte) * FNV_PRIME) & 0xFFFFFFFFFFFFFFFF
@@ -75,54 +78,63 @@ def fnv1a(files: DataFrame, key: str, text: str) -> DataFrame:
 
 
 class Versioned:
-    """A Parquet table under a folder of its own: every write is a new version, and a one-line pointer names the live one, so
-    that readers never see half a write. `schema_version` in the path makes tables of an older layout invisible."""
+    """A Parquet table under a folder of its own, written in versions: a full snapshot, or a part that adds to it or
+    replaces rows of the same key. A version counts once its number stands in the log, which only ever gets rows added, so
+    readers never see half a write. `schema_version` in the path makes tables of an older layout invisible."""
 
     def __init__(self, spark: SparkSession, folder: str, schema_version: int = 1):
         self.spark, self.folder = spark, f"{folder.rstrip('/')}/v{schema_version}"
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
 
-    def version(self) -> str | None:
-        if not self._fs.exists(self._path("live")):
+    def _live(self) -> list[int]:
+        """The versions that make up the table: the last snapshot and the parts after it."""
+        try:
+            log = self.spark.read.schema("version long, whole boolean").parquet(f"{self.folder}/log")
+        except AnalysisException:
+            return []
+        last = log.where("whole").agg(F.max("version")).first()[0]
+        return sorted(r[0] for r in log.where(F.col("version") >= (last or 0)).select("version").distinct().collect())
+
+    def version(self) -> int | None:
+        return max(self._live(), default=None)
+
+    def read(self, key: str = "path", newest: tuple[str, ...] = ("ingested_at", "hash")) -> DataFrame | None:
+        """The table; of rows of one key in several versions the one that is greatest by the columns of `newest`."""
+        live = self._live()
+        if not live:
             return None
-        return self.spark.read.text(f"{self.folder}/live").first()[0]
-
-    def read(self) -> DataFrame | None:
-        v = self.version()
-        return None if v is None else self.spark.read.parquet(f"{self.folder}/{v}")
-
-    def write(self, df: DataFrame) -> str:
-        v = uuid.uuid4().hex
-        df.write.parquet(f"{self.folder}/{v}")
-        stream = self._fs.create(self._path(f"live.{v}"), True)
-        stream.write(bytearray(v.encode()))
-        stream.close()
-        self._fs.delete(self._path("live"), False)
-        self._fs.rename(self._path(f"live.{v}"), self._path("live"))
+        df = self.spark.read.parquet(*[f"{self.folder}/data/version={v}" for v in live])
+        return df if len(live) == 1 else latest(df, key, newest)
+
+    def write(self, df: DataFrame, whole: bool = True) -> int:
+        """Add a version: a snapshot, or with whole=False a part, whose cost is that of its own rows."""
+        v = (self.version() or 0) + 1
+        df.write.parquet(f"{self.folder}/data/version={v}")
+        self.spark.createDataFrame([(v, whole)], "version long, whole boolean").coalesce(1).write.mode("append").parquet(f"{self.folder}/log")
         return v
 
     def merge(self, new: DataFrame, key: str = "path", version: str = "hash") -> DataFrame:
-        """Make `new` the live snapshot; what changed against the last one. Unchanged rows keep what the store has of them."""
-        old = self.read()
+        """Make `new` the snapshot; what changed against the last one. Unchanged rows keep what the store has of them."""
+        old = self.read(key)
         if old is None:
-            status = new.select(key, F.lit("new").alias("status"))
             self.write(new)
-            return status
-        status = changes(old, new, key, version)
+            return new.select(key, F.lit("new").alias("status"))
+        status = written(changes(old, new, key, version))
         kept = old.join(status.where("status = 'same'"), key, "left_semi")
         fresh = new.join(status.where("status IN ('new', 'changed')"), key, "left_semi")
-        before = f"{self.folder}/{self.version()}"
         self.write(kept.unionByName(fresh, allowMissingColumns=True))
-        return changes(self.spark.read.parquet(before), new, key, version)
+        return status
 
     def purge(self) -> None:
-        """Delete every version but the live one."""
-        live = self.version()
-        for s in self._fs.listStatus(self._path("")) if self._fs.exists(self._path("")) else []:
-            name = s.getPath().getName()
-            if name not in ("live", live):
-                self._fs.delete(s.getPath(), True)
+        """Delete the versions that are no longer part of the table."""
+        live = {f"version={v}" for v in self._live()}
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/data")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for s in fs.listStatus(path) if fs.exists(path) else []:
+            if s.getPath().getName() not in live:
+                fs.delete(s.getPath(), True)
+
+
+def latest(df: DataFrame, key: str, newest: tuple[str, ...]) -> DataFrame:
+    """One row per key, the greatest by the columns of `newest` that df has."""
+    order = [F.col(c) for c in newest if c in df.columns] or [F.lit(1)]
+    return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_r")).select("_r.*")

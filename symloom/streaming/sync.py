@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from symloom.sources.store import Versioned
+from symloom.sources.store import Versioned, latest
 
 
 def latest_arrivals(files: DataFrame, delay: str = "30 days") -> DataFrame:
@@ -16,17 +16,18 @@ def latest_arrivals(files: DataFrame, delay: str = "30 days") -> DataFrame:
     return stream.dropDuplicatesWithinWatermark(["file_id", "hash"]).drop("arrived")
 
 
-def follow(spark: SparkSession, source: str, store: str, checkpoint: str, schema: str) -> StreamingQuery:
-    """Merge the Parquet files that appear in `source` into a versioned table, by path; runs until no file is left."""
+def follow(spark: SparkSession, source: str, store: str, checkpoint: str, schema: str, compact: int = 50) -> StreamingQuery:
+    """Merge the Parquet files that appear in `source` into a versioned table, by path; runs until no file is left.
 
-    def batch(df: DataFrame, _: int) -> None:
+    Each micro-batch adds the newest row of each of its paths; what the table shows of a path is the row with the greatest
+    ingested_at of all, so a row that arrives late replaces none that is newer. After `compact` batches the table is
+    written as one snapshot."""
+
+    def batch(df: DataFrame, number: int) -> None:
         table = Versioned(df.sparkSession, store)
-        old = table.read()
-        newest = df.groupBy("path").agg(F.max_by(F.struct(*df.columns), F.struct("ingested_at", "hash")).alias("r")).select("r.*")
-        if old is None:
-            table.write(newest)
-        else:
-            table.write(old.join(newest.select("path"), "path", "left_anti").unionByName(newest))
+        table.write(latest(df, "path", ("ingested_at", "hash")), whole=False)
+        if number % compact == compact - 1:
+            table.write(table.read())
 
     stream = spark.readStream.schema(schema).parquet(source)
     return latest_arrivals(stream).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -179,6 +179,17 @@ def test_extraction(spark):
     assert {"b", "c"} & set(by[3, "S::Do"]["mentions"]) and "x" in by[2, "S::go"]["mentions"] and by[1, "helper"]["signature"] == "def helper( v, ):"
 
 
+def test_only_stale_files_are_extracted_again(spark):
+    schema = "file_id long, repo_id long, path string, hash string, content string"
+    old = spark.createDataFrame([(1, 1, "a.py", "x", "def one():\n    two()\n"), (2, 1, "b.py", "y", "def two():\n    pass\n"), (3, 1, "c.py", "z", "def gone(): pass\n")], schema)
+    new = spark.createDataFrame([(1, 1, "a.py", "x", "def one():\n    two()\n"), (2, 1, "b.py", "y2", "def two():\n    one()\n"), (4, 1, "d.py", None, "def four(): pass\n")], schema)
+    before = extract.symbols_of(old).withColumn("signature", F.lit("kept")).cache()
+    got = extract.refreshed(old, new, before)
+    same = lambda df: {(r["sid"], r["name"], tuple(r["calls"])) for r in df.collect()}
+    assert same(got) == same(extract.symbols_of(new))
+    assert {r["name"] for r in got.where("signature = 'kept'").collect()} == {"one"}
+
+
 def test_imports(spark):
     py = "import os, a.b as ab\nfrom .near import (\n    one,\n    two as second,\n)\n"
     ts = "import D, { x as y, z } from './local/mod';\nimport * as ns from 'pkg';\nimport type {\n  T,\n} from '../types';\nconst { r: s } = require('lib');\nimport 'side';\n"
@@ -213,7 +224,11 @@ def test_stream_keeps_the_store_in_step(spark, tmp_path):
     assert go()
     rows((2, "b", "z", "2025-01-03 00:00:00")).write.parquet(f"{tmp_path}/in/2")
     assert go()
-    assert {(r["path"], r["hash"]) for r in store.Versioned(spark, f"file://{tmp_path}/store").read().collect()} == {("a", "x"), ("b", "z")}
+    kept = store.Versioned(spark, f"file://{tmp_path}/store")
+    assert {(r["path"], r["hash"]) for r in kept.read().collect()} == {("a", "x"), ("b", "z")}
+    rows((2, "b", "old", "2025-01-02 00:00:00")).write.parquet(f"{tmp_path}/in/3")  # late, and older than what is stored
+    assert go()
+    assert {(r["path"], r["hash"]) for r in kept.read().collect()} == {("a", "x"), ("b", "z")}
 
 
 def test_catalogue_imports_without_the_subpackage():
