@@ -55,12 +55,19 @@ def profiles(documents: DataFrame) -> DataFrame:
 def vocabulary(profile: DataFrame) -> DataFrame:
     """word, rank: one more than the number of words that are more frequent; equally frequent words share a rank.
 
-    The ranks come from the table of distinct frequencies, whose length grows as the square root of the corpus at most,
-    so the words themselves are never sorted in one task."""
+    Frequencies are ordered within octaves; how many words all greater octaves hold comes from one count an octave, of
+    which there are at most 63, so the words themselves are never sorted in one task."""
     words = profile.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy(F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("n"))
     words = written(words)
-    steps = words.groupBy("n").count().withColumn("rank", F.sum("count").over(Window.orderBy(F.desc("n"))) - F.col("count") + 1)
-    return words.join(steps.select("n", "rank"), "n").select("word", "rank")
+    steps = words.groupBy("n").count().withColumn("octave", F.floor(F.log2("n")).cast("int"))
+    above, before = 0, {}
+    for r in sorted(steps.groupBy("octave").agg(F.sum("count").alias("m")).collect(), reverse=True):
+        before[r["octave"]] = above
+        above += r["m"]
+    start = F.coalesce(*[F.when(F.col("octave") == o, F.lit(n)) for o, n in before.items()], F.lit(0))
+    inside = F.sum("count").over(Window.partitionBy("octave").orderBy(F.desc("n"))) - F.col("count")
+    steps = steps.select("n", (start + inside + 1).alias("rank"))
+    return words.join(steps, "n").select("word", "rank")
 
 
 def coverage(profile: DataFrame, share: float = SHARE, hot: int = HOT) -> DataFrame:
@@ -114,7 +121,7 @@ FROM features
 """
 CALIBRATED = """
 WITH rated AS (SELECT doc_id, avg(level) AS level FROM labels WHERE level IS NOT NULL GROUP BY doc_id),
-     known AS (SELECT c.*, r.level FROM cells c JOIN rated r USING (doc_id) WHERE c.lang = 'en' AND c.sentences > 0),
+     known AS (SELECT /*+ MERGE(r) */ c.*, r.level FROM cells c JOIN rated r USING (doc_id) WHERE c.lang = 'en' AND c.sentences > 0),
      fine AS (SELECT c1, c2, c3, median(level) AS l3 FROM known GROUP BY c1, c2, c3 HAVING count(*) >= {least}),
      mid AS (SELECT c1, c2, median(level) AS l2 FROM known GROUP BY c1, c2 HAVING count(*) >= {least}),
      wide AS (SELECT c1, median(level) AS l1 FROM known GROUP BY c1 HAVING count(*) >= {least}),

@@ -7,45 +7,51 @@ the rightmost among equals" in constant time; one such query finds each cut.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symloom.util import table
 
-LIMIT, OVERLAP = 4000, 200
+LIMIT, OVERLAP, STRETCH = 4000, 200, 1 << 17
 PIECES = "symbol_id long, piece int, pieces int, start_byte int, end_byte int, overlap int, first_line int, last_line int, text string"
 
 
-def strengths(raw: bytes) -> np.ndarray:
-    """The boundary strength of each position 0..len(raw); a position is a cut before that byte."""
+_INDENT = re.compile(rb"[ \t]*")
+_SPACE = np.frombuffer(b" \t\r\n", np.uint8)
+_CLAUSE = np.frombuffer(b";,.}])", np.uint8)
+
+
+def strengths(raw: bytes, low: int = 0, high: int | None = None) -> np.ndarray:
+    """The boundary strength of each position low..high (the end where it is not given); a position is a cut before that
+    byte. What stands around the range is looked at where a position depends on it."""
+    n = len(raw)
+    high = n if high is None else high
     a = np.frombuffer(raw, np.uint8)
-    n = len(a)
-    s = np.ones(n + 1, np.int64)
-    s[n] = 63
-    if not n:
-        return s
-    space = (a == 32) | (a == 9) | (a == 13) | (a == 10)
-    s[1:n][space[:-1]] = 2
-    s[1:n][np.isin(a[:-1], np.frombuffer(b";,.}])", np.uint8))] = 3
-    starts = np.flatnonzero(a == 10) + 1
-    edges = np.concatenate([[0], starts])
-    blank_before = False
-    for i, at in enumerate(edges):
-        end = edges[i + 1] if i + 1 < len(edges) else n
-        line = raw[at:end]
-        body = line.lstrip(b" \t")
-        indent = min(20, sum(4 if c == 9 else 1 for c in line[: len(line) - len(body)]))
-        blank = not body.strip()
-        if 0 < at < n:
-            closing = body[:1] in (b"}", b")", b"]")
-            s[at] = 4 if closing else 10 + (20 - indent) + 30 * blank_before
-        blank_before = blank
-    s[:n][(a & 0xC0) == 0x80] = 0
-    s[1:n][(a[:-1] == 13) & (a[1:] == 10)] = 0
+    s = np.ones(high - low + 1, np.int64)
+    at = np.arange(max(low, 1), high + 1)
+    before = a[at - 1]
+    s[at - low] = np.where(np.isin(before, _CLAUSE), 3, np.where(np.isin(before, _SPACE), 2, 1))
+    for p in at[before == 10].tolist():
+        if p == n:
+            continue
+        body = _INDENT.match(raw, p).end()
+        indent = min(20, sum(4 if c == 9 else 1 for c in raw[p : min(body, p + 20)]))
+        k = p - 2
+        while k >= 0 and raw[k] in b" \t\r":
+            k -= 1
+        blank_before = k < 0 or raw[k] == 10
+        s[p - low] = 4 if raw[body : body + 1] in (b"}", b")", b"]") else 10 + (20 - indent) + 30 * blank_before
+    inside = np.flatnonzero((a[low : min(high + 1, n)] & 0xC0) == 0x80)
+    s[inside] = 0
+    pairs = at[(before == 13) & (a[np.minimum(at, n - 1)] == 10) & (at < n)] if n else at
+    s[pairs - low] = 0
+    if high == n:
+        s[-1] = 63
     return s
 
 
@@ -67,24 +73,28 @@ class RangeMax:
         return int(max(self.levels[k][lo], self.levels[k][hi - (1 << k) + 1]) % self.n)
 
 
-def cuts(raw: bytes, limit: int, overlap: int) -> list[tuple[int, int]]:
+def cuts(raw: bytes, limit: int, overlap: int, stretch: int = STRETCH) -> list[tuple[int, int]]:
     """Consecutive pieces [start, end) of at most `limit` bytes covering raw; each starts at most `overlap` bytes before
-    the end of the one before it. Texts within the limit are one piece."""
+    the end of the one before it. Texts within the limit are one piece. Strengths and table are made for `stretch` bytes
+    at a time, so their memory does not grow with the text."""
     if limit < 8 or not 0 <= overlap <= limit // 4:
         raise ValueError("limit must be at least 8 and overlap at most a quarter of it")
     n, start, out = len(raw), 0, []
     if n <= limit:
         return [(0, n)]
-    s = strengths(raw)
-    best = RangeMax(s, limit)
-    lines = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10) + 1
+    base = top = 0
     while n - start > limit:
-        end = best.strongest(start + limit // 2, start + limit)
+        low, high = start + limit // 2, start + limit
+        if high > top or not out:
+            base, top = start, min(n, start + max(stretch, 2 * limit))
+            s = strengths(raw, base, top)
+            best = RangeMax(s, high - low + 1)
+        end = base + best.strongest(low - base, high - base)
         out.append((start, end))
         back = max(start + 1, end - overlap)
-        i = int(np.searchsorted(lines, back))
-        start = int(lines[i]) if i < len(lines) and lines[i] < end else back
-        while s[start] == 0:
+        line = raw.find(b"\n", back - 1, end - 1) + 1
+        start = line or back
+        while s[start - base] == 0:
             start += 1
     return [*out, (start, n)]
 
@@ -129,5 +139,21 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized(table(spark, folder, "symbols")).where("piece = 0").select("symbol_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces}
-SQL = {"p3_found": "SELECT DISTINCT symbol_id FROM symbols WHERE strlen(body) > 4000"}
+def p3_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each oversized symbol the bytes its pieces cover without their overlaps, and whether all of them keep to the
+    limit and the overlap, follow one another, and have the right lines."""
+    pieces = p3_pieces(spark, folder)
+    width = F.col("end_byte") - F.col("start_byte")
+    lines = F.col("last_line") - F.col("first_line") == F.octet_length(F.regexp_replace(F.expr("left(text, length(text) - 1)"), r"[^\n]", ""))
+    order = Window.partitionBy("symbol_id").orderBy("piece")
+    follows = F.coalesce(F.lag("end_byte").over(order) - F.col("start_byte") == F.col("overlap"), F.col("start_byte") == 0)
+    good = (width <= LIMIT) & F.col("overlap").between(0, OVERLAP) & (F.octet_length("text") == width) & F.coalesce(lines, F.lit(True))
+    by = pieces.withColumn("good", good).withColumn("follows", follows).groupBy("symbol_id")
+    return by.agg(F.sum(width - F.col("overlap")).alias("covered"), F.bool_and("good").alias("good"), F.bool_and("follows").alias("follows"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p3_coverage": p3_coverage}
+SQL = {
+    "p3_coverage": "SELECT symbol_id, max(strlen(body))::BIGINT AS covered, true AS good, true AS follows FROM symbols WHERE strlen(body) > 4000 GROUP BY symbol_id",
+    "p3_found": "SELECT DISTINCT symbol_id FROM symbols WHERE strlen(body) > 4000",
+}

@@ -36,6 +36,17 @@ def test_range_maximum(values, data):
     assert split.RangeMax(s, len(values)).strongest(lo, hi) == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab {};\n\r\té𝄞", max_size=900), st.integers(16, 60), st.integers(0, 4))
+def test_stretches_change_nothing(text, limit, overlap):
+    raw = text.encode()
+    assert split.cuts(raw, limit, overlap, 2 * limit) == split.cuts(raw, limit, overlap)
+    whole = split.strengths(raw).tolist()
+    for low, high in ((0, len(raw) // 2), (len(raw) // 3, len(raw)), (len(raw) // 2, len(raw) // 2)):
+        part = split.strengths(raw, low, high).tolist()
+        assert part[1:] == whole[low + 1 : high + 1]
+
+
 def test_natural_boundaries_are_preferred():
     text = "".join(f"def f{i}():\n    x = {i}\n    return x\n\n" for i in range(60))
     parts = split.cuts(text.encode(), 400, 40)
