@@ -137,6 +137,24 @@ def test_words_left_out_or_put_in(spark):
     assert got == {(0, 2)}
 
 
+def test_altered_copies_are_removed_whole(spark):
+    """Also beside an exact passage, and each of several copies."""
+    w = Q1.split()
+    altered = " ".join("other" if i == 14 else x for i, x in enumerate(w))
+    doc = f"{altered} {'filler ' * 60}{Q1} {'filler ' * 60}{' '.join('new' if i in (5, 18) else x for i, x in enumerate(w))}"
+    got, rows = leaks(spark, doc)
+    assert got == {(0, 1)}
+    merged = sorted((r["start"], r["end"]) for r in leak.removal_spans(rows).collect())
+    texts = [doc[a:b].split() for a, b in merged]
+    assert [len(t) for t in texts] == [len(w)] * 3
+
+
+def test_openings_of_suites(spark):
+    rows = [("a", f"Read this and answer now question {i} about {i}".split()) for i in range(9)] + [("b", f"{i} odd text".split()) for i in range(9)] + [("c", "Please do it".split())] * 2 + [("d", [])]
+    got = {r["suite"]: r["opening"] for r in leak.standing(spark.createDataFrame(rows, "suite string, words array<string>")).collect()}
+    assert got == {"a": "Read this and answer now question".split()}
+
+
 def test_blocks_give_the_same(spark):
     d = spark.createDataFrame([(1, Q1), (2, Q2)], "doc_id long, text string")
     items = spark.createDataFrame([(i, f"s{i}", t, None) for i, t in enumerate([Q1, Q2, Q1 + " more words"])], "item_id long, suite string, text string, answer string")
