@@ -3,7 +3,8 @@
 The head of each declaration (comments, attributes, signature, the first statement of a Python body) is lexed to one
 letter a token and parsed with a generalised LL grammar of its language, which also accepts what broken files leave of a
 declaration: a token at which all alternatives fail is dropped. The grammar, not a search, decides which comment is the
-declaration's own. Descriptions that many differently named functions have word for word are templates; they are told by
+declaration's own. The function that a description belongs to is then parsed whole (bodies.py): what follows its end is cut
+off, and how many tokens and brackets recovery had to drop or add tells valid functions from broken ones. Descriptions that many differently named functions have word for word are templates; they are told by
 counting hashes over the corpus.
 """
 
@@ -17,11 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symloom.llm import bodies
 from symloom.llm.gll import Parser, grammar
 from symloom.util import spread, table, written
 
 TEMPLATE_NAMES, WORDS = 25, 5
-PAIRS = "symbol_id long, name string, code string, description string, recovered int"
+PAIRS = "symbol_id long, name string, code string, description string, faults int"
 
 # Letters: D line of documentation, B block of documentation, H documentation attribute, A attribute or decorator,
 # c other comment, e empty line, k the word that declares a function, w other token, g bracketed group, o start of the
@@ -54,7 +56,7 @@ Begin: k | w | g
 Words: Words w | Words g | Words c | Words e | Words k | -
 """,
 }
-FORMS = {"py": "py", "rs": "lines", "go": "lines", "ts": "blocks", "tsx": "blocks", "js": "blocks", "jsx": "blocks", "mjs": "blocks"}
+FORMS = {"py": "py", "rs": "lines", "go": "lines", "ts": "blocks", "tsx": "blocks", "js": "blocks", "jsx": "blocks", "mjs": "blocks", "cjs": "blocks"}
 _PARSERS = {k: Parser(grammar(v), "Unit", ("Lead",)) for k, v in GRAMMARS.items()}
 
 _STRING = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
@@ -227,7 +229,8 @@ def says_something(text: str, name: str, least: int = WORDS) -> bool:
 
 
 def pair(body: str, name: str, file: str) -> tuple[str, str, int] | None:
-    """(code, description, dropped tokens) of one declaration; None without documentation of its own that says something."""
+    """(code, description, faults) of one declaration; None without documentation of its own that says something. The code
+    ends where the function does; faults are 0 for a valid function, else what recovery dropped, closed or added."""
     ext = file.rpartition(".")[2].lower()
     form = FORMS.get(ext)
     if form is None or not body:
@@ -243,7 +246,8 @@ def pair(body: str, name: str, file: str) -> tuple[str, str, int] | None:
     description = text_of(body[lo:hi], form)
     if not says_something(description, name or ""):
         return None
-    return body[:lo] + body[hi:], description, dropped
+    faults, end = bodies.parse(body, ext if ext in ("py", "rs", "go") else "ts")
+    return body[:lo] + body[hi : max(hi, end)], description, dropped + faults
 
 
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,7 +261,7 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def documented(symbols: DataFrame, names: int = TEMPLATE_NAMES) -> DataFrame:
-    """symbol_id, name, code, description, recovered of each function or method with a description of its own.
+    """symbol_id, name, code, description, faults of each function or method with a description of its own.
 
     Null or empty bodies and other kinds give no row, a null name has no words to restate, a file of an unknown extension
     no documentation. A description that at least `names` functions of different names have is a template and dropped.
@@ -272,7 +276,7 @@ def documented(symbols: DataFrame, names: int = TEMPLATE_NAMES) -> DataFrame:
 
 
 def p2_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return documented(table(spark, folder, "symbols")).select("symbol_id", "code", "description")
+    return documented(table(spark, folder, "symbols")).select("symbol_id", "code", "description", "faults")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -66,6 +66,18 @@ class Parser:
                         add(*edge[0], node, end)
         return ends, furthest
 
+    def dropped(self, tokens: str) -> int:
+        """How many tokens recovery drops until the rest has a parse; all of them where nothing is left that has one."""
+        n = 0
+        while True:
+            ends, furthest = self._complete(tokens)
+            if len(tokens) in ends[self.start, 0]:
+                return n
+            if not tokens:
+                return n
+            at = min(furthest, len(tokens) - 1)  # an end that comes too soon drops the last token
+            n, tokens = n + 1, tokens[:at] + tokens[at + 1 :]
+
     def spans(self, tokens: str, wanted: str) -> tuple[list[tuple[int, int]], list[int]]:
         """(spans of the nonterminal `wanted` in the preferred derivation, tokens that recovery dropped). Where the text
         has no parse, the token at which every alternative failed is dropped and the rest is parsed again."""

@@ -111,7 +111,7 @@ def coverage(profile: DataFrame, share: float = SHARE, hot: int = HOT) -> DataFr
 def features(documents: DataFrame) -> DataFrame:
     """doc_id, lang, sentences, length, letters, cover; a row for each row of documents with a distinct doc_id."""
     p = written(profiles(documents).dropDuplicates(["doc_id"]))
-    return p.select("doc_id", "lang", "sentences", "length", "letters").join(coverage(p), "doc_id", "left")
+    return p.select("doc_id", "lang", "sentences", "length", "letters").join(coverage(p).hint("merge"), "doc_id", "left")
 
 
 CELLS = """

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from symloom.llm import docs, gll, handmade, parses
+from symloom.llm import bodies, docs, gll, handmade, parses
 
 FILES = "file_id long, repo_id long, path string, content string, lines string, reason string, valid string"
 CODE = "".join(f"def step_{i}(a, b):\n    total = a + {i}\n    if total > b:\n        return combine(total, b)\n    return total * {i}\n\n" for i in range(12))
@@ -126,6 +126,38 @@ def test_head_of_a_broken_file():
     assert text == SAYS and "function f" in code
 
 
+WHOLE = {
+    "py": "async def f(a: int, *b, c=(1, 2), **d) -> dict[str, int]:\n    x, y = [i for i in a if i and not b], lambda q: q + 1\n    with open(x) as g, h: pass\n    if (n := y(x)) > 3: return {**d, 'k': x[1:2, ::3]}\n    elif n not in b:\n        raise E(f'{n}') from None\n    else:\n        yield await n\n    while True: break\n    try:\n        del x[0]; a += -1\n    except (A, B) as e:\n        global z\n    return x if y else z\n",
+    "rs": "#[inline]\npub(crate) async fn f<'a, T: Fn(u8) -> u8>(x: &'a mut [T; 3], y: Vec<Vec<u8>>) -> Result<(), E> where T: Copy {\n    let Some(v) = x.get(0)? else { return Err(E::new(1)) };\n    for (i, c) in y.iter().enumerate() { if c[i] > 3 && !v { continue; } }\n    match v { 1..=3 | 5 if a > b => { go() } S { a, .. } => 'q', _ => vec![1; 3].len(), }\n    let g = |a: u8, b| -> u8 { *a + b };\n    loop { println!(\"{}\", g(1, 2)); break }\n    Ok(())\n}\n",
+    "go": "func (t *T[K]) F(a ...int) (x int, err error) {\n\tif v, ok := m[a[0]]; ok && !v {\n\t\treturn 1, nil\n\t}\n\tfor i := range 10 {\n\t\tswitch x := y.(type) {\n\t\tcase int, []byte:\n\t\t\ti++\n\t\tdefault:\n\t\t\tgo func() { ch <- <-d }()\n\t\t}\n\t}\n\tvar s = map[string][]int{\"a\": {1}}\n\tselect {\n\tcase <-c:\n\t\tdefer u.Unlock()\n\t}\n\treturn len(s), &E{A: 1}\n}\n",
+    "ts": "export async function f<T extends K>(a: Map<string, T[]>, b?: number, ...c: any[]): Promise<void> {\n  const { x, y: z = 1, ...r } = await g(a), [d, , e] = b;\n  for (const [k, v] of a) if (v) continue; else break;\n  try { throw new E(`${x}`) } catch { } finally { i++; }\n  const h = async (q: T) => ({ ...q, n: q?.m ?? 2, [k]: q! as U });\n  switch (x) { case 1: case 'a': return; default: y = typeof z; }\n  do { x ||= y ? z : -1 } while (x < 3)\n  label: while (1) { delete r.q }\n  return /[/]a+/.test(x) && (function () { return 1 })();\n}\n",
+}
+
+
+@pytest.mark.parametrize(("form", "text"), WHOLE.items())
+def test_whole_functions_have_a_reading(form, text):
+    assert bodies.parse(text, form) == (0, len(text.rstrip()) if form != "py" else len(text))
+
+
+@pytest.mark.parametrize(
+    ("form", "text"),
+    [
+        ("ts", "function f(x) { return x +* (; }"), ("ts", "function f(x) { return ((; }}}"), ("ts", "function f(x) { return x"), ("ts", "function f(x) { let a = = 1; }"), ("ts", "function f(x) { if (x { } }"), ("py", "def f(x):\n    return x +\n"), ("py", "def f(x):\n    y = (x, [1)\n"), ("py", "def f(x)\n    return x\n"),
+        ("go", "func f() {\n\tx := \n}"), ("go", "func f() {\n\treturn a b c)\n}"), ("rs", "fn f() { let x = ; }"), ("rs", "fn f() { match x { 1 => } "),
+    ],
+)
+def test_broken_functions_are_counted(form, text):
+    assert bodies.parse(text, form)[0] > 0
+
+
+def test_a_function_ends_with_its_body():
+    body = f"/** {SAYS} */\nfunction f(a) {{ return {{ a }}; }}\n<<<<<<< HEAD\nfunction g( {{"
+    code, text, faults = docs.pair(body, "f", "a.cjs")
+    assert code == "\nfunction f(a) { return { a }; }" and text == SAYS and faults > 0
+    assert docs.pair(body[: body.index("<<<")], "f", "a.cjs")[2] == 0
+    assert docs.pair(f"/** {SAYS} */\nfunction f(a) {{ if (a) {{ return 1", "f", "a.js")[2] == 2
+
+
 def test_gll_accepts_ambiguous_and_left_recursive_grammars():
     p = gll.Parser(gll.grammar("S: S S | x | -"), "S")
     assert p.spans("xxxx", "S")[0][0] == (0, 4)
