@@ -6,35 +6,57 @@ so that a fault is stored and reading goes on at the next statement. All faults
 
 from __future__ import annotations
 
+import keyword
+import re
 import sys
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.llm.syntax import ecma, golang, python, rust
+from symloom.llm.syntax.inner import unfold_fstrings, unfold_templates
 from symloom.util import spread, table
 
 LANGUAGES = {"py": "python", "rs": "rust", "go": "go", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript"}
 RESULT = "file_id long, repo_id long, extension string, language string, valid boolean, faults array<struct<line:int,message:string>>"
 
 
+_PLAIN = re.compile(r"\s*[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*\s*")
+_WORDS = frozenset(keyword.kwlist) - {"None", "True", "False"}
+
+
+@lru_cache(maxsize=50_000)
+def _inner(expression: str, extension: str) -> str | None:
+    """The fault of an expression inside a string, or None."""
+    if _PLAIN.fullmatch(expression) and not _WORDS & set(expression.replace(".", " ").split()):
+        return None
+    found = python.check(f"({expression},)" if expression.strip() else "(,)") if extension == "py" else ecma.check(f"({expression}\n)", extension)
+    return found[0][1] if found else None
+
+
 def faults(text: str | None, extension: str) -> list[tuple[int, str]]:
-    """(line, message) of every fault of a file, in order; none for an empty one."""
+    """(line, message) of every fault of a file, in order; none for an empty one. Expressions inside templates and f-strings
+    are parsed as well."""
     text = (text or "").removeprefix("﻿")
     if not text.strip():
         return []
+    inner: list[tuple[int, str]] = []
     if extension == "py":
+        text, inner = unfold_fstrings(text)
         found, lang = python.check(text), python.PY
     elif extension == "rs":
         found, lang = rust.check(text), rust.RS
     elif extension == "go":
         found, lang = golang.check(text), golang.GO
     else:
+        text, inner = unfold_templates(text)
         found, lang = ecma.check(text, extension), ecma.JS
+    broken = [(text.count("\n", 0, at) + 1, message) for at, x in inner if (message := _inner(x, extension))]
     if not found:
-        return []
+        return sorted(broken)
     starts = [m.start(1) for m in lang.pattern.finditer(text)]
     out, line, seen = [], 1, 0
     for token, message in found:
@@ -42,7 +64,7 @@ def faults(text: str | None, extension: str) -> list[tuple[int, str]]:
         line += text.count("\n", seen, at)
         seen = at
         out.append((line, message))
-    return out
+    return sorted([*out, *broken]) if broken else out
 
 
 def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

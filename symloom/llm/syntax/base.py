@@ -184,6 +184,7 @@ class Descent:
         self.level += 1
         try:
             if self.level > self.deepest:
+                self.faults.append((p, "nested too deeply"))
                 self.skip(p, close)
                 return
             self.memoised(rule, parse)

@@ -206,6 +206,19 @@ def test_invalid_sources(ext, text):
     assert parses.faults(text, ext)
 
 
+@pytest.mark.parametrize(
+    ("ext", "text", "valid"),
+    [
+        ("js", "let a = `x ${b} ${c.d(1)}`;", True), ("js", 'a(`${x ? "{" : `q ${[`${{y: {z: {w: {v: 1}}}}}`]}`}`)', True), ("js", "a = `${a b}`;", False), ("js", "a = `${)}`;", False), ("js", "a = `${}`;", False), ("js", "a = `x ${b`;", False), ("js", "a = `\\${ no } $5 {`;", True),
+        ("ts", "f(`${(x as T).y}`, `${`}`}`)", True), ("tsx", "const a = <b c={`${d}`}>it's `q</b>;", True), ("js", "a = /`/.test(b); c = `${d}`;", True), ("js", "// it`s ${\nlet c = 'a`b';", True), ("js", "a = `\n${\n  b +\n}\n`;", False),
+        ("py", "a = f'{d['a']}'", True), ("py", "a = f'{x!r:>{w}} {y=} {z:%Y-%m} {{}} {a[1:2]} {b if c != d else e}'", True), ("py", "a = f'{a b}'", False), ("py", "a = f'{}'", False), ("py", "a = f'{x'", False), ("py", "a = f'x}'", False), ("py", "a = f'{x!z}'", False),
+        ("py", "a = rf'\\d{n}\\{' '}'", True), ("py", "a = f'\\N{DASH} {x}'", True), ("py", "a = f'''{\n  x\n} {f'{y}'}'''", True), ("py", "a = f'{(lambda x: 1)(2)} {[i for i in x]}' f'{*y, z}'", True), ("py", "a = 'f' + b'{' + r'{'  # f'{'", True), ("py", "a = f'{x +}'", False),
+    ],
+)
+def test_expressions_inside_strings(ext, text, valid):
+    assert (parses.faults(text, ext) == []) == valid
+
+
 def test_python_agrees_with_its_compiler():
     random.seed(5)
     text = GOOD["py"] + CODE
