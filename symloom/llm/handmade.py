@@ -29,19 +29,21 @@ from pyspark.sql import functions as F
 
 from symloom.util import spread, table, written
 
-LEAST_LINE, LEAST_SHARED, CONTAINED, JUMPS = 12, 3, 0.6, 3
+LEAST_LINE, LEAST_SHARED, CONTAINED, JUMPS, LEAST_VALUES = 12, 3, 0.6, 3, 150
 MARKS = "file_id long, repo_id long, path string, generated boolean, stamped boolean, minified boolean, data boolean, notice boolean, folder boolean, digest binary, lines array<long>"
 
 _HEAD = re.compile(r"^\s*(?://+|#+|/\*+!?|\*+|--+|;+|<!--|\"\"\"|'''|@)\s*(.*?)\s*(?:\*/|-->|\"\"\"|''')?\s*$")
-# What tools write about their output; a sentence about other files or one that says the file is kept by hand is none.
-_TOOL = re.compile(
-    r"@generated\b|<auto-?generated|\bauto-?generated (?:file|code|by|from)\b|\b(?:code|file|was|is|been|automatically|machine)[ -]generated (?:by|from|with|using|file)\b|\bgenerated (?:by|from|with|using)\b"
-    r"|\b(?:this )?file (?:was|is) (?:produced|generated|created|written|emitted) (?:automatically )?by\b|^machine[- ]made\b|^machine[- ]generated\b|\bemitted by \S+ .*\b(?:build|edits?)\b|\bwritten out by\b"
-    r"|\b(?:edits?|changes) (?:are|will be) (?:lost|overwritten|discarded)|\bautomatisch (?:erzeugt|generiert)|\b(?:generado|creado) autom[aá]ticamente|\bg[eé]n[eé]r[eé] automatiquement"
-    r"|\bdo not edit\b\W*$|\bdo not (?:edit|modify)\b.*\b(?:source of truth|generated|by hand|manually)",
-    re.I,
-)
-_BY_HAND = re.compile(r"\b(?:kept|edited|maintained|written|rewritten|updated|typed in) (?:by hand|manually)|\bby hand\b|\bmethod stub\b|\blive elsewhere\b|\breads?\b.*\bgenerated\b|\bfrom this (?:module|file)\b", re.I)
+# What tools write about their output is told by kinds of words: a verb of making whose agent or end follows, a warning
+# that edits do not last, the file itself as the subject; a line about what people keep by hand is none.
+_MARKED = re.compile(r"@generated\b|<auto-?generated\b|^\W*(?:warning\W+)?do not (?:edit|modify)\W*$", re.I)
+_AUTO = r"(?:auto(?:matically)?[- ]?|machine[- ])"
+_AFTER = r"(?= *(?:automatically )?(?:by|from|with|using|file|code|on)\b| *(?:[,;.:(-]|$))"
+_MADE = re.compile(rf"\b(?:{_AUTO}?generated|{_AUTO}(?:made|produced|emitted|created|written)){_AFTER}|\bautomatisch (?:erzeugt|generiert)\b|\b(?:generado|creado) autom[aá]ticamente|\bg[eé]n[eé]r[eé] automatiquement", re.I)
+_MADE_BY = re.compile(r"\b(?:produced|emitted|created|made|written(?: out)?) (?:automatically )?(?:by|from|with|using)\b", re.I)
+_SUBJECT = re.compile(r"^\W*(?:(?:this|the|diese|este|ce) )?(?:(?:\w+ )?(?:file|code|module|source|datei|archivo|fichier))?\s*(?:(?:was|is|has been|wird|fue|est) (?:von \S+ )?)?(?:automatically )?$", re.I)
+_WARNS = re.compile(r"\b(?:do not|don't|never|must not be|not be) (?:be )?(?:edit|modif|chang|touch)\w*|\b(?:edits?|changes?|änderungen)\b.*\b(?:lost|overwritten|discarded|verloren)\b|\bregenerate\b|\bsource of truth\b", re.I)
+_KEPT = re.compile(r"\b(?:kept|maintained|edited|written|rewritten|updated|typed in)\b[^.;]*\b(?:by hand|manually)\b", re.I)
+_NOT = re.compile(r"\b(?:not|never|don't|cannot)\b[^.;]*$", re.I)
 _NOTICE = re.compile(r"^copied from \S+|^(?:bundled|vendored|third-party) copy of\b|\(c\) the \S+ authors\b|\bpermission is (?:hereby )?granted\b|^vendored from\b|\breport bugs upstream\b|\bupstream (?:tag|version|commit)\b", re.I)
 _FOLDER = re.compile(r"(?:^|/)(?:node_modules|bower_components|vendor|_?vendored|_vendor|third[_-]?party|3rdparty|externals?|deps|contrib|libs/ext|site-packages|dist-packages|Godeps|Pods)/", re.I)
 _NAMED = re.compile(r"(?:\.min\.\w+|_pb2(?:_grpc)?\.py|\.pb\.go|_pb\.[jt]s|\.g\.\w+|\.gen\.\w+|_generated\.\w+|\.generated\.\w+)$")
@@ -89,7 +91,18 @@ def _foreign_notice(comments: list[str], path: str) -> bool:
 
 
 def _generated(comments: list[str]) -> bool:
-    return any(_TOOL.search(c) and not _BY_HAND.search(c) for c in comments)
+    return any(map(_tool_notice, comments))
+
+
+def _tool_notice(line: str) -> bool:
+    kept = _KEPT.search(line)
+    if kept and not _NOT.search(line[: kept.start()]):
+        return False
+    if _MARKED.search(line):
+        return True
+    made = _MADE.search(line)
+    warns = bool(_WARNS.search(line))
+    return bool(made and (warns or _SUBJECT.match(line[: made.start()]))) or warns and bool(_MADE_BY.search(line))
 
 
 def _stamped(text: str, lines: list[str]) -> bool:
@@ -115,7 +128,7 @@ def _minified(text: str, lines: list[str]) -> bool:
     """Long lines, hardly a space beside operators, names of few letters."""
     dense = [x for x in lines if len(x) > 180]
     size = sum(map(len, dense))
-    if size < 0.7 * max(1, len(text.strip())) or size < 300:
+    if size < 0.7 * max(1, len(text.strip())):
         return False
     body = "".join(_VALUE.sub("0", x) for x in dense)
     if len(body) < 0.3 * size:
@@ -127,7 +140,7 @@ def _minified(text: str, lines: list[str]) -> bool:
 
 def _data(text: str, lines: list[str]) -> float:
     """The share of the file that is values without logic; 0 where there is logic too, or hardly any value."""
-    if len(text) < 600 or len(_CALL.findall(text)) > len(text) // 120:
+    if len(text) < LEAST_VALUES or len(_CALL.findall(text)) > len(text) // 120:
         return 0.0
     values = total = logic = 0
     for x in lines:
@@ -144,7 +157,7 @@ def _data(text: str, lines: list[str]) -> float:
             values += len(s)
         elif _DECL.match(x):
             logic += 1
-    return values / total if values >= 600 and logic <= 2 + values // 4000 else 0.0
+    return values / total if values >= LEAST_VALUES and logic <= 2 + values // 4000 else 0.0
 
 
 def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -45,6 +45,17 @@ def test_a_third_of_all_files_is_one_text(spark):
     assert {k for k, v in reasons(spark, *rows).items() if v == "vendored"} == {i for i in range(30) if i % 3 == 0}
 
 
+@pytest.mark.parametrize(
+    ("line", "tool"),
+    [
+        ("Code generated by protoc-gen-go. DO NOT EDIT.", True), ("@generated", True), ("DO NOT EDIT", True), ("Do not edit by hand: generated from a.proto", True), ("This code must not be edited manually, it is generated by x", True), ("This file was written out by loom; changes will be lost", True),
+        ("Created by a person in 2019", False), ("Parses the code generated by protoc.", False), ("The list is generated from the index, then sorted", False), ("This file is kept by hand, do not regenerate", False), ("Auto-generated method stub", False), ("Do not edit the limits below", False),
+    ],
+)
+def test_notices_of_tools(line, tool):
+    assert handmade._tool_notice(line) == tool
+
+
 def linked(files, share=0.6):
     """Components by comparing all pairs of files of different repositories."""
     lines = {f: {x.strip() for x in text.split("\n") if len(x.strip()) >= handmade.LEAST_LINE} for f, _, text in files}
