@@ -35,9 +35,22 @@ def _symbols(spark: SparkSession, folder: str, *more: str) -> DataFrame:
     return graph.symbols(spark, folder, *more)
 
 
+_shared: dict[str, DataFrame] | None = None
+
+
+def share_graphs() -> None:
+    """From now on the call graph of a folder is resolved and written once for all queries of this session."""
+    global _shared
+    _shared = {}
+
+
 def _edges(spark: SparkSession, folder: str) -> DataFrame:
     """The call graph, written once a query: several operators read it."""
-    return written(graph.call_edges(graph.arrivals(spark, folder)))
+    if _shared is None:
+        return written(graph.call_edges(graph.arrivals(spark, folder)))
+    if folder not in _shared:
+        _shared[folder] = written(graph.call_edges(graph.arrivals(spark, folder)))
+    return _shared[folder]
 
 
 def _files(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -80,7 +93,7 @@ def _(spark, folder):
 
 @query("callees", Q.with_(["s", "e"], "SELECT e.repo_id, e.src, count(*) AS callees, string_agg(s.file || ':' || s.name, ' ' ORDER BY e.dst) AS coordinates FROM e JOIN s ON s.sid = e.dst GROUP BY ALL"))
 def _(spark, folder):
-    e = graph.call_edges(graph.arrivals(spark, folder)).join(_symbols(spark, folder).select(F.col("sid").alias("dst"), C.coordinate().alias("coordinate")), "dst")
+    e = _edges(spark, folder).join(_symbols(spark, folder).select(F.col("sid").alias("dst"), C.coordinate().alias("coordinate")), "dst")
     one = F.sort_array(F.collect_list(F.struct("dst", "coordinate")))
     return e.groupBy("repo_id", "src").agg(F.count(F.lit(1)).alias("callees"), F.array_join(F.transform(one, lambda x: x["coordinate"]), " ").alias("coordinates"))
 
@@ -112,7 +125,7 @@ def _(spark, folder):
 def _(spark, folder):
     s = _symbols(spark, folder, "body").select("sid", "file", F.octet_length("body").alias("bytes"))
     a, d = s.select(F.col("sid").alias("src"), F.col("file").alias("at")), s.withColumnRenamed("sid", "dst")
-    return graph.call_edges(graph.arrivals(spark, folder)).join(a, "src").join(d, "dst").where("at = file").select("src", "dst", "bytes")
+    return _edges(spark, folder).join(a, "src").join(d, "dst").where("at = file").select("src", "dst", "bytes")
 
 
 @query("name_resolution", Q.with_(["s"], f"SELECT target, CASE WHEN n = 1 THEN 'unique' ELSE 'ambiguous' END AS status, n AS hits FROM (SELECT t.name AS target, count(DISTINCT s.sid) AS n FROM (SELECT DISTINCT {Q.leaf('name')} AS name FROM s) t JOIN s ON {Q.leaf('s.name')} = t.name GROUP BY t.name)"))
