@@ -745,6 +745,29 @@ def _(spark, folder):
     return both.groupBy("lang").agg(F.count(F.lit(1)).alias("packages"), F.count_if(F.array_contains("words", F.col("package"))).alias("found"))
 
 
+@query("first_party_imports")
+def _(spark, folder):
+    """By language: the imports that stay within the workspace: relative ones, those of the own crate, and of packages that
+    are named like a repository."""
+    got = extract.imports(_files(spark, folder, "path", "content"))
+    patterns = spark.createDataFrame([("./", "", True), ("../", "", True), (".", "", True), ("crate::", "", True)], "prefix string, suffix string, wildcard boolean")
+    packages = table(spark, folder, "repos").select(F.col("repo_name").alias("package")).where("package IS NOT NULL")
+    mine = search.first_party(got, patterns, packages)
+    return got.groupBy("lang").agg(F.count(F.lit(1)).alias("imports")).join(mine.groupBy("lang").agg(F.count(F.lit(1)).alias("first_party")), "lang", "left").fillna(0, ["first_party"])
+
+
+@query("extracted_mentions")
+def _(spark, folder):
+    """Who mentions the busiest symbol of each repository, of the symbols extracted from the files, by file, line and name."""
+    s = written(extract.symbols_of(_files(spark, folder, "repo_id", "path", "content")))
+    named = s.select("repo_id", "sid", F.explode(F.array_distinct(F.array("name", C.mention_name("name")))).alias("word"))
+    often = graph.mentions(s).select("repo_id", "word").join(named.withColumnRenamed("sid", "target"), ["repo_id", "word"]).groupBy("repo_id", "target").agg(F.count(F.lit(1)).alias("n"))
+    top = often.groupBy("repo_id").agg(F.max_by("target", F.struct("n", "target")).alias("sid"))
+    found = graph.mentioners(s, s.join(top.select("sid"), "sid", "left_semi")).join(s.select("sid", "file", "start_line", "name"), "sid")
+    order = Window.partitionBy("target").orderBy("file", "start_line", "name", "sid")
+    return found.select("repo_id", "target", "sid", "file", "start_line", F.row_number().over(order).alias("place"))
+
+
 @query("extracted_graph")
 def _(spark, folder):
     """The outcomes of all references of the graph that is built from the files alone."""

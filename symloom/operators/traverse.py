@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symloom.functions import columns as C
-from symloom.util import discard, written
+from symloom.util import bucketed, discard, written
+
+ROWS_A_BUCKET = 500_000
 
 
 def reach(e: DataFrame, seeds: DataFrame, depth: int, up: bool = True) -> DataFrame:
@@ -51,21 +53,26 @@ def pagerank(nodes: DataFrame, e: DataFrame, rounds: int = 100, tolerance: float
     t = transitions(e if weighted else e.withColumn("w", F.lit(1.0)))
     out = t.select(F.col("src").alias("sid")).distinct().withColumn("flows", F.lit(True))
     base = weight.join(mass, "repo_id").join(out, "sid", "left").select("repo_id", "sid", "is_test", (F.col("m") / F.col("mass")).alias("prior"), F.coalesce("flows", F.lit(False)).alias("flows"), (F.lit(1.0) / F.col("size")).alias("rank"))
-    base, t = written(base), written(t.select("src", "dst", "p"))
-    still = base.drop("rank")
-    now = base.select("sid", "rank")
+    base = written(base)
+    # what stays the same is laid out by symbol once: a round shuffles only the sums that flow along the edges
+    n = max(nodes.sparkSession.sparkContext.defaultParallelism, base.count() // ROWS_A_BUCKET)
+    t = bucketed(t.select(F.col("src").alias("sid"), "dst", "p").repartition(n, "sid"), "sid", n)
+    still = bucketed(base.drop("rank").repartition(n, "sid"), "sid", n)
+    now = bucketed(base.select("sid", "rank").repartition(n, "sid"), "sid", n)
     spent: list[DataFrame] = []
-    for _ in range(rounds):
+    for k in range(rounds):
         have = still.join(now.withColumnRenamed("rank", "old"), "sid")
         loose = have.where(~F.col("flows")).groupBy("repo_id").agg(F.sum("old").alias("loose"))
-        inflow = now.select(F.col("sid").alias("src"), "rank").join(t, "src").groupBy(F.col("dst").alias("sid")).agg(F.sum(F.col("rank") * F.col("p")).alias("inflow"))
+        inflow = now.join(t, "sid").groupBy(F.col("dst").alias("sid")).agg(F.sum(F.col("rank") * F.col("p")).alias("inflow"))
         rank = F.lit(1 - damping) * F.col("prior") + F.lit(damping) * (F.coalesce("inflow", F.lit(0.0)) + F.coalesce("loose", F.lit(0.0)) * F.col("prior"))
-        nxt = written(have.join(inflow, "sid", "left").join(loose, "repo_id", "left").select("repo_id", "sid", rank.alias("rank"), F.abs(rank - F.col("old")).alias("moved")))
+        nxt = bucketed(have.join(inflow, "sid", "left").join(loose, "repo_id", "left").select("repo_id", "sid", rank.alias("rank"), F.abs(rank - F.col("old")).alias("moved")), "sid", n)
         moved = nxt.groupBy("repo_id").agg(F.sum("moved").alias("moved")).agg(F.max("moved")).first()[0]
         now = nxt.select("sid", "rank")
         spent.append(nxt)
         if len(spent) > 2:
             discard(spent.pop(0))  # no later round reads the one before the last
+        if k % 10 == 9:
+            nodes.sparkSession._jvm.System.gc()  # lets Spark delete the shuffle files of finished rounds
         if moved is None or moved < tolerance:
             break
     now = still.join(now, "sid")
